@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, mixing, packing, warc
+from . import exactdup, mixing, neardup, packing, substring, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_docs(spark, sf_dir)).drop("kept_text")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_docs(spark, sf_dir)).drop("_rid")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup)}
 
 SQL = {
     "op7_mixing": r"""
@@ -59,4 +67,14 @@ SQL = {
         q as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by h) else page_id end as first from p)
         select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
                case when page_id = first then null else first end as refers_to from q""",
+    "op10_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) as p from d),
+        h as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as h from s),
+        f as (select h, min(doc_id) as first from h group by h),
+        r as (select h.doc_id, list(p) as ps from h join f using (h) where first < h.doc_id group by h.doc_id),
+        g as (select doc_id, list_distinct(flatten(list_transform(ps, lambda p: range(p, p + 50)))) as gone from r),
+        k as (select d.doc_id, d.w, len(d.w) as n, coalesce(g.gone, []) as gone from d left join g using (doc_id)),
+        x as (select doc_id, n, len(gone) as n_gone, case when len(gone) = 0 then w when len(gone) = n then [] else list_filter(w, lambda x, i: not list_contains(gone, i)) end as kept from k)
+        select doc_id, n::bigint as n_words, n_gone::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from x""",
 }
