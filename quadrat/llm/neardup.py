@@ -288,6 +288,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     named = scratch.table(named.select("_rid", "doc_id", F.coalesce("root", "rep").alias("class")), "named-rows")
     last = F.lit((1 << 63) - 1)
     sums = named.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "_rid")).alias("keep"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    sums = scratch.table(sums, "classes")  # stored, so that the join can split a large class
     return named.join(sums, "class").select("_rid", "doc_id", "class_id", "class_size", (F.col("_rid") == F.col("keep._rid")).alias("kept"))
 
 
