@@ -148,6 +148,7 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64)
     scratch = Scratch(docs.sparkSession, "exactdup")
     found = scratch.table(identities(docs, block_bytes, hash_bits, scratch), "identities")
     keep = found.groupBy("identity").agg(F.max(F.struct("doc_id", "_rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    keep = scratch.table(keep, "groups")  # stored, so that the join can split a large group
     return found.join(keep, "identity").select(
         "_rid",
         "doc_id",
