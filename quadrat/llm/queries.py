@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, mixing, neardup, packing, substring, warc
+from . import exactdup, media, mixing, neardup, packing, substring, toxicity, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_docs(spark, sf_dir)).drop("_rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup)}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("_rid")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(_docs(spark, sf_dir)).drop("_rid")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup, op3_toxicity, op6_media_columns)}
 
 SQL = {
     "op7_mixing": r"""
