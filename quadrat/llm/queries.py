@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, media, mixing, neardup, packing, substring, toxicity, warc
+from . import exactdup, media, mixing, neardup, packing, secrets, substring, toxicity, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_docs(spark, sf_dir)).drop("_rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup, op3_toxicity, op6_media_columns)}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_docs(spark, sf_dir)).drop("_rid")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup, op3_toxicity, op6_media_columns, op2_secret_scan)}
 
 SQL = {
     "op7_mixing": r"""
