@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, media, mixing, neardup, packing, secrets, substring, toxicity, warc
+from . import chat, exactdup, media, mixing, neardup, packing, secrets, substring, toxicity, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_docs(spark, sf_dir)).drop("_rid")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup, op3_toxicity, op6_media_columns, op2_secret_scan)}
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(chat.batch_negatives(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup, op3_toxicity, op6_media_columns, op2_secret_scan, op4_chat_format)}
 
 SQL = {
     "op7_mixing": r"""
@@ -89,4 +93,19 @@ SQL = {
         k as (select d.doc_id, d.w, len(d.w) as n, coalesce(g.gone, []) as gone from d left join g using (doc_id)),
         x as (select doc_id, n, len(gone) as n_gone, case when len(gone) = 0 then w when len(gone) = n then [] else list_filter(w, lambda x, i: not list_contains(gone, i)) end as kept from k)
         select doc_id, n::bigint as n_words, n_gone::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from x""",
+    "op4_chat_format": r"""
+        with t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls last, role nulls last, text nulls last) as no from conversations),
+        l as (select conv_id, max(no) as last from t where role = 'assistant' group by conv_id),
+        c as (select t.*, l.last from t join l using (conv_id) where no <= last),
+        f as (select conv_id, text, row_number() over (order by md5(conv_id::varchar), conv_id) as rank, count(*) over () as n from c where no = last),
+        s as (select conv_id as pair_id, 'chosen' as side, no, role, text from c
+              union all select conv_id, 'rejected', no, role, text from c where no < last
+              union all select c.conv_id, 'rejected', c.no, c.role, g.text from c join f on c.conv_id = f.conv_id join f g on g.rank = f.rank % f.n + 1 where c.no = c.last),
+        d as (select pair_id, no, count(distinct side) as n, count(distinct row(role, text)) as k from s group by pair_id, no),
+        p as (select pair_id, min(case when n < 2 or k > 1 then no end) as first from d group by pair_id),
+        j as (select s.*, first is null or no < first as shared, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, coalesce(text, '') as content from s join p using (pair_id))
+        select pair_id, case when shared then 'prompt' else side end as part, no, role, head || content || '<|end|>' || chr(10) as rendered,
+               case when not shared and role = 'assistant' then length(head) else 0 end::int as train_from,
+               case when not shared and role = 'assistant' then length(head) + length(content) else 0 end::int as train_to
+        from j where not shared or side = 'chosen'""",
 }
