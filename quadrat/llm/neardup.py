@@ -268,13 +268,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     def ordered(a: str, b: str):
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
+    # sort-merge joins at every size: what moves grows in proportion, and a centre's rows can be split
     texts = scratch.table(
-        base.select(F.col("_rid").alias("rep"), "text").join(paired.select("rep").distinct(), "rep", "left_semi"), "texts"
+        base.select(F.col("_rid").alias("rep"), "text").join(paired.select("rep").distinct().hint("merge"), "rep", "left_semi"), "texts"
     )
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-        return scratch.table(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(weighing, least), "a long, b long, similarity double"), name)
+        return scratch.table(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(weighing, least), "a long, b long, similarity double"), name)
 
     likely = paired.filter("rep != one.rep").groupBy("rep").agg(F.max("one").alias("one")).select(*ordered("rep", "one.rep")).distinct()
     near = components(links(likely, "links1"), scratch, "near")
