@@ -255,7 +255,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     signed = scratch.table(base.select("_rid", "doc_id", "text").mapInArrow(_signed(weighing, bands, rows), "_rid long, doc_id long, digest binary, bands array<long>"), "signed")
     first = scratch.table(signed.groupBy("digest").agg(F.min("_rid").alias("rep")), "first")
     alone = signed.join(first, F.col("_rid") == F.col("rep")).select("rep", F.explode("bands").alias("key"))
-    crowded = alone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # stored sums, so that joins with them can split a frequent key
+    crowded = scratch.table(alone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
     shared = scratch.table(alone.join(crowded, "key"), "shared")
     # a document in large buckets is likely in the middle of its group
     weight = shared.groupBy("rep").agg(F.sum("n").alias("crowd"))
@@ -263,6 +264,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     centres = placed.groupBy("key").agg(
         F.max(F.struct("crowd", "rep")).alias("one"), F.max(F.struct(F.xxhash64("rep", "key").alias("x"), "rep")).alias("two")
     )
+    centres = scratch.table(centres, "centres")
     paired = scratch.table(placed.join(centres, "key").select("rep", "one", F.col("two.rep").alias("two")), "paired")
 
     def ordered(a: str, b: str):
