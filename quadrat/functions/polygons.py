@@ -40,20 +40,29 @@ def shoelace(poly: Column) -> Column:
 def clip(poly: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """The part of a polygon in a rectangle, cut at its four sides in turn."""
     for axis, limit, keep_above in ((0, x0, True), (0, x1, False), (1, y0, True), (1, y1, False)):
+        # a list of one and its lambda give the polygon a name, so that no step is computed twice
+        poly = F.transform(F.array(poly), _side(axis, limit.cast("double"), keep_above))[0]
+    return poly
 
-        def inside(p: Column, axis=axis, limit=limit, keep_above=keep_above) -> Column:
-            return p[axis] >= limit if keep_above else p[axis] <= limit
 
-        def met(e: Column, axis=axis, limit=limit) -> Column:
-            a, b = e["a"], e["b"]
-            t = (limit - a[axis]) / F.when(b[axis] == a[axis], F.lit(FLAT)).otherwise(b[axis] - a[axis])
-            other = a[1 - axis] + t * (b[1 - axis] - a[1 - axis])
-            return F.array(limit.cast("double"), other) if axis == 0 else F.array(other, limit.cast("double"))
+def _side(axis: int, limit: Column, keep_above: bool):
+    return lambda poly: _cut(poly, axis, limit, keep_above)
 
-        def kept(e: Column, inside=inside, met=met) -> Column:
-            none = F.array().cast("array<array<double>>")
-            crossing = F.when(inside(e["a"]) != inside(e["b"]), F.array(met(e))).otherwise(none)
-            return F.concat(crossing, F.when(inside(e["b"]), F.array(e["b"])).otherwise(none))
 
-        poly = F.flatten(F.transform(_edges(poly), kept))
-    return poly
+def _cut(poly: Column, axis: int, limit: Column, keep_above: bool) -> Column:
+    """The part of a polygon on one side of a line along an axis."""
+    none = F.array().cast("array<array<double>>")
+
+    def inside(p: Column) -> Column:
+        return p[axis] >= limit if keep_above else p[axis] <= limit
+
+    def met(a: Column, b: Column) -> Column:
+        t = (limit - a[axis]) / F.when(b[axis] == a[axis], F.lit(FLAT)).otherwise(b[axis] - a[axis])
+        other = a[1 - axis] + t * (b[1 - axis] - a[1 - axis])
+        return F.array(limit, other) if axis == 0 else F.array(other, limit)
+
+    def kept(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return F.concat(F.when(inside(a) != inside(b), F.array(met(a, b))).otherwise(none), F.when(inside(b), F.array(b)).otherwise(none))
+
+    return F.flatten(F.transform(_edges(poly), kept))

@@ -141,8 +141,8 @@ def run_metrics_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run (user_id), epoch and lr, of the 40 first users."""
-    e = table(spark, sf_dir, "events").filter("user_id < 40 or user_id % 50 = 0")
+    """run (user_id), epoch and lr: a user's events in order are a run's epochs."""
+    e = table(spark, sf_dir, "events")
     epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return e.select(F.col("user_id").alias("run"), epoch.alias("epoch"), (F.round(F.col("value") * 100).cast("bigint") / (F.lit(1000000.0) * (1 + F.col("user_id") % 7 * F.col("user_id") % 5 * 20))).alias("lr"))
 
@@ -173,5 +173,5 @@ run_metrics as (select case when kind = 0 then 'realonly_' || det || '_seed' ||
   sum(cents)::double / count(cents) / 50000.0::double as metric from named group by 1),
 run_metrics_class as (select 'annotred_' || (['A', 'B', 'T'])[event_id % 3 + 1] || '_yolo26_seed' || (user_id % 3) as run_name, ((event_id // 3) % 5)::int as cls,
   case when (event_id // 3) % 5 < 4 then sum(round(value * 100)::bigint)::double / count(*) / 50000.0::double end as metric from events group by 1, 2, (event_id // 3) % 5),
-train_log as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::int as epoch, round(value * 100)::bigint / (1000000.0::double * (1 + user_id % 7 * user_id % 5 * 20)) as lr from events where user_id < 40 or user_id % 50 = 0)
+train_log as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::int as epoch, round(value * 100)::bigint / (1000000.0::double * (1 + user_id % 7 * user_id % 5 * 20)) as lr from events)
 """
