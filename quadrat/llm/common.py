@@ -62,6 +62,20 @@ def row_ids(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def pick_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of docs by the numbers that row_ids gives them (ids: _rid); how is left_semi or left_anti."""
+    name = fresh(docs, "_rid")
+    return row_ids(docs, name).join(ids.withColumnRenamed("_rid", name), name, how).select(*docs.columns)
+
+
 def rank_within(scratch: Scratch, df: DataFrame, group: list[str], order: list[Column], name: str, label: str = "ranked") -> DataFrame:
     """Row number from 1 within each group, whatever the group's size.
 

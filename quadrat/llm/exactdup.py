@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, row_ids
+from .common import Scratch, partitions, pick_rows, row_ids
 
 BLOCK_BYTES = 4096
 
@@ -161,5 +161,4 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64)
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs (read from files) that stay, with all their columns."""
-    keep = groups(docs).filter("kept").select("_rid")
-    return row_ids(docs).join(keep, "_rid", "left_semi").drop("_rid")
+    return pick_rows(docs, groups(docs).filter("kept").select("_rid"), "left_semi")

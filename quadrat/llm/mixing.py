@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, rank_within, row_ids
+from .common import WORD, Scratch, fresh, rank_within, row_ids
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -76,6 +76,7 @@ def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, mos
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mixed corpus: docs' rows with all their columns, each as often as the plan says."""
-    taken = plan(docs, seed, weights, most).filter("copies > 0").select("_rid", F.col("copies").alias("_copies"))
-    rows = row_ids(docs).join(taken, "_rid")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_rid", "_copies", "_copy")
+    rid, n = fresh(docs, "_rid"), fresh(docs, "_copies")
+    taken = plan(docs, seed, weights, most).filter("copies > 0").select(F.col("_rid").alias(rid), F.col("copies").alias(n))
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(fresh(docs, "_copy"))
+    return row_ids(docs, rid).join(taken, rid).select(*docs.columns, repeated).select(*docs.columns)

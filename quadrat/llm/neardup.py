@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_ids
+from .common import Scratch, pick_rows, row_ids
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -297,5 +297,4 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs (read from files) that stay, one of each class, with all their columns."""
-    keep = classes(docs, least).filter("kept").select("_rid")
-    return row_ids(docs).join(keep, "_rid", "left_semi").drop("_rid")
+    return pick_rows(docs, classes(docs, least).filter("kept").select("_rid"), "left_semi")
