@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.geometry import box, size_bin, size_key
 from ..functions.names import draw
 from .matching import best_overlap, match
+from .ranking import dense_index
 
 BINS = [("small", 0.0, 64.0), ("medium", 64.0, 128.0), ("large", 128.0, float("inf"))]
 #: Slices of the confidence scale over which running sums are shared out.
@@ -104,11 +105,11 @@ def average_precision(rows: DataFrame, totals: DataFrame, cell: list[str], order
 def bootstrap_weights(units: DataFrame, unit: list[str], resamples: int, seed: int = 0) -> DataFrame:
     """resample, unit, w: how often each image is drawn when as many as there are, are drawn with replacement.
 
-    Draw k of resample b is a digest of both. Only the names of images are put in order, not their
-    boxes; units without a draw have no row.
+    Draw k of resample b is a digest of both, and images are numbered in an order drawn likewise;
+    units without a draw have no row.
     """
     n = units.count()
-    numbered = units.select(*unit, (F.row_number().over(Window.orderBy(*unit)) - 1).alias("number"))  # names of images, not their boxes
+    numbered = dense_index(units.select(*unit), draw(F.lit(str(seed)), *(F.col(c).cast("string") for c in unit)), unit, "number")
     draws = units.sparkSession.range(resamples * n).select((F.col("id") / n).cast("long").alias("resample"), (F.col("id") % n).alias("k"))
     picked = draws.select("resample", (draw(F.lit(str(seed)), F.col("resample").cast("string"), F.col("k").cast("string")) % n).alias("number"))
     return picked.groupBy("resample", "number").agg(F.count(F.lit(1)).alias("w")).join(numbered, "number").select("resample", *unit, "w")

@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import draw, uniform
-
-
-def _rank(df: DataFrame, key: str, seed: int, group: list[str]) -> DataFrame:
-    """_k: places from 1 in an order drawn by the digest of seed and key."""
-    order = Window.partitionBy(*group).orderBy(draw(F.lit(str(seed)), F.col(key).cast("string")), key)
-    return df.withColumn("_k", F.row_number().over(order))
+from .ranking import dense_index, first_rows
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows without replacement, the first by a digest of seed and key; all if there are fewer."""
-    return df.orderBy(draw(F.lit(str(seed)), F.col(key).cast("string")), key).limit(n)
+    return first_rows(df, draw(F.lit(str(seed)), F.col(key).cast("string")), [key], n)
 
 
 def sample_with_extras(df: DataFrame, n: int, key: str, seed: int = 0, strict: bool = False) -> DataFrame:
@@ -32,7 +27,7 @@ def sample_with_extras(df: DataFrame, n: int, key: str, seed: int = 0, strict: b
         raise ValueError(f"{n} rows asked for, {size} there")
     if not size:
         return df
-    ranked = df.withColumn("_k", F.row_number().over(Window.orderBy(key)) - 1)
+    ranked = dense_index(df, draw(F.lit(str(seed)), F.col(key).cast("string")), [key], "_k")
     extra = df.sparkSession.range(n - size).select((draw(F.lit(f"{seed}+"), F.col("id").cast("string")) % size).alias("_k"))
     return df.unionByName(extra.join(ranked, "_k").drop("_k"))
 
@@ -49,7 +44,7 @@ def matched_size(real: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     times = -(-n // size) if size else 0
     rows = real.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(times - 1, 0)))))
     order = draw(F.lit(str(seed)), F.col(key).cast("string"), F.col("copy").cast("string"))
-    return rows.orderBy(order, key, "copy").limit(n)
+    return first_rows(rows, order, [key, "copy"], n)
 
 
 def arms(frames: DataFrame, early: int, pool: DataFrame | None = None) -> DataFrame:

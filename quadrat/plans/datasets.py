@@ -50,7 +50,7 @@ def hybrid_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     _with(
         "want as (select 3 * pool as n, pool from nr)",
-        "ranked as (select frame, row_number() over (order by frame) - 1 as k from pool)",
+        f"ranked as (select frame, row_number() over (order by {_draw(chr(39) + '0' + chr(39), 'frame')}, frame) - 1 as k from pool)",
         f"extra as (select {_draw(chr(39) + '0+' + chr(39), 'id')} % pool as k from (select unnest(range(n - pool)) as id, pool from want))",
         "all_rows as (select frame from pool union all select frame from extra join ranked using (k))",
     )
