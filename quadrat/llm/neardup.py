@@ -1,10 +1,12 @@
 """Near duplicates by consistent weighted sampling of TF-IDF shingles.
 
-A document is the multiset of its five-word shingles, each weighing its count times its inverse
-document frequency. Improved consistent weighted sampling draws shingles so that two documents draw
+A document is the set of its five-word shingles, each weighing one plus the logarithm of its count,
+times its inverse document frequency. Improved consistent weighted sampling draws shingles so that two documents draw
 alike with a probability equal to their weighted Jaccard similarity. Draws are banded; documents that
 share a band are compared with two centres of that band, and a link stands if the similarity,
-computed from both whole texts, is high enough. Classes are the connected components.
+computed from both whole texts, is high enough. Classes are the connected components. Where a
+band's documents are then still in several classes, each is compared with more centres of other
+classes, if they share several bands; so a document that is like some of a large group finds one of them.
 
 Document frequency matters where it is high: it is exact for shingles in at least a share FLOOR of all
 documents, and all rarer ones weigh as if at FLOOR. A shingle that frequent in the whole is as
@@ -32,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 FLOOR = 0.01
 PART_DOCS, PART_SHINGLES = 4000, 4_000_000
+#: Centres drawn from each band's bucket in the last round, and bands that a pair then has to share.
+MORE_CENTRES, SHARED_BANDS = 8, 3
 #: Up to so many named shingles are counted from a broadcast list, more by a shuffle.
 MOST_NAMED = 1_000_000
 SEED, TABLE_BITS, SLAB = 20_240_501, 16, 4096
@@ -74,7 +78,7 @@ class Weights:
             at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
             known = self.common[at] == h
             w[known] = self.idf[at[known]]
-        return w * counts
+        return w * (1 + np.log(counts))  # a line repeated many times shouldn't outweigh all else
 
 
 class Sampler:
@@ -253,14 +257,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     base = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     weighing = spark.sparkContext.broadcast(weights(base, scratch, floor))
     signed = scratch.table(base.select("_rid", "doc_id", "text").mapInArrow(_signed(weighing, bands, rows), "_rid long, doc_id long, digest binary, bands array<long>"), "signed")
-    first = scratch.table(signed.groupBy("digest").agg(F.min("_rid").alias("rep")), "first")
-    alone = signed.join(first, F.col("_rid") == F.col("rep")).select("rep", F.explode("bands").alias("key"))
+    first = scratch.table(signed.groupBy("digest").agg(F.min("_rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "first")
+    single = scratch.table(signed.join(first.select("rep", "copies"), F.col("_rid") == F.col("rep")).select("rep", "copies", "bands"), "single")
+    alone = single.select("rep", "copies", F.explode("bands").alias("key"))
     # stored sums, so that joins with them can split a frequent key
     crowded = scratch.table(alone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
     shared = scratch.table(alone.join(crowded, "key"), "shared")
     # a document in large buckets is likely in the middle of its group
     weight = shared.groupBy("rep").agg(F.sum("n").alias("crowd"))
-    placed = scratch.table(shared.join(weight, "rep").select("rep", "key", "crowd"), "placed")
+    placed = scratch.table(shared.join(weight, "rep").select("rep", "key", "crowd", "copies"), "placed")
     centres = placed.groupBy("key").agg(
         F.max(F.struct("crowd", "rep")).alias("one"), F.max(F.struct(F.xxhash64("rep", "key").alias("x"), "rep")).alias("two")
     )
@@ -285,8 +290,19 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     rest = paired.select(F.explode(F.array(F.struct(*ordered("rep", "one.rep")), F.struct(*ordered("rep", "two")))).alias("p")).select("p.a", "p.b").filter("a != b").distinct()
     rest = rest.join(x, "a", "left").join(y, "b", "left").filter("coalesce(x, a) != coalesce(y, b)").select("a", "b")
     more = links(scratch.table(rest, "rest"), "links2").select("a", "b")
-    both = near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more)
-    roots = components(both, scratch, "all")
+    both = scratch.table(near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "links12")
+    roots = components(both, scratch, "second")
+    found = scratch.table(placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", "copies", F.coalesce("root", "rep").alias("class")), "placed-classes")
+    drawn = [F.max(F.struct(F.xxhash64("rep", "key", F.lit(k)).alias("x"), "rep", "class")).alias(f"c{k}") for k in range(MORE_CENTRES)]
+    centres = found.groupBy("key").agg(*drawn, F.max(F.struct(F.col("copies").alias("x"), "rep", "class")).alias(f"c{MORE_CENTRES}"), F.min("class").alias("low"), F.max("class").alias("high"))
+    other = F.explode(F.array(*[F.struct(F.col(f"c{k}.rep").alias("rep"), F.col(f"c{k}.class").alias("class")) for k in range(MORE_CENTRES + 1)])).alias("c")
+    centres = scratch.table(centres.filter("low != high"), "more-centres")
+    pairs = found.join(centres, "key").select("rep", "class", other).filter("class != c.class").select(*ordered("rep", "c.rep")).distinct()
+    # sort-merge joins, as above
+    a, b = single.select(F.col("rep").alias("a"), F.col("bands").alias("bands_a")), single.select(F.col("rep").alias("b"), F.col("bands").alias("bands_b"))
+    alike = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(F.size(F.array_intersect("bands_a", "bands_b")) >= SHARED_BANDS).select("a", "b")
+    last_links = links(scratch.table(alike, "alike"), "links3").select("a", "b")
+    roots = components(both.unionByName(last_links), scratch, "all")
     named = signed.join(first, "digest").select("_rid", "doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.table(named.select("_rid", "doc_id", F.coalesce("root", "rep").alias("class")), "named-rows")
     last = F.lit((1 << 63) - 1)
