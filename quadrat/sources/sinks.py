@@ -20,12 +20,13 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 
 def write_split(frames: DataFrame, path: str, **about) -> None:
-    """One JSON object with the split of each field and frame; a table of names, not of boxes."""
-    maps = frames.agg(
-        F.map_from_entries(F.collect_set(F.struct("field", "split"))).alias("plot_to_split"), F.map_from_entries(F.collect_set(F.struct("field", "year"))).alias("field_year"), F.map_from_entries(F.collect_set(F.struct(F.col("frame").cast("string"), F.col("split")))).alias("uid_to_split")
+    """path/fields: one JSON object with the split and season of each field; path/frames: Parquet with the split of each frame."""
+    maps = frames.groupBy("field", "split", "year").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.collect_set(F.struct("field", "split"))).alias("plot_to_split"), F.map_from_entries(F.collect_set(F.struct("field", "year"))).alias("field_year"), F.sum("n").alias("n_images")
     )
     fields = [F.lit(v).alias(k) for k, v in about.items()]
-    maps.select(F.to_json(F.struct(*fields, "plot_to_split", "field_year", "uid_to_split")).alias("value")).write.mode("overwrite").text(path)
+    maps.select(F.to_json(F.struct(*fields, "*")).alias("value")).write.mode("overwrite").text(f"{path}/fields")
+    frames.select("frame", "split").write.mode("overwrite").parquet(f"{path}/frames")
 
 
 def write_detections(rows: DataFrame, path: str) -> None:
@@ -53,9 +54,16 @@ def swap_in(df: DataFrame, path: str) -> int:
     if not n:
         fs.delete(new, True)
         raise ValueError(f"nothing to put at {path}")
-    fs.delete(old, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".before")
+    fs.delete(aside, True)
+    there = fs.exists(old)
+    if there and not fs.rename(old, aside):
+        raise OSError(f"can't move {path} aside")
     if not fs.rename(new, old):
+        if there:
+            fs.rename(aside, old)
         raise OSError(f"can't move {staged} to {path}")
+    fs.delete(aside, True)
     return n
 
 

@@ -87,3 +87,8 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1)], "image string, pos int")
     sinks.write_manifest(rows.unionByName(rows), str(tmp_path / "man"))
     assert an.read_manifest(spark, str(tmp_path / "man")).count() == 2
+    frames = spark.createDataFrame([(1, "a", "train", 2021), (2, "a", "train", 2021), (3, "b", "test", 2022)], "frame long, field string, split string, year int")
+    sinks.write_split(frames, str(tmp_path / "split"), protocol="holdout")
+    text = spark.read.text(str(tmp_path / "split" / "fields")).first()[0]
+    assert json.loads(text) == {"protocol": "holdout", "plot_to_split": {"a": "train", "b": "test"}, "field_year": {"a": 2021, "b": 2022}, "n_images": 3}
+    assert spark.read.parquet(str(tmp_path / "split" / "frames")).count() == 3
