@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         return said.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quadrat-")
+        own = tempfile.mkdtemp(prefix="quadrat-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dirs[app] = f"file://{own}"
     return _own_dirs[app]
 
 
