@@ -302,8 +302,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     drawn = [F.max(F.struct(F.xxhash64("rep", "key", F.lit(k)).alias("x"), "rep", "class")).alias(f"c{k}") for k in range(MORE_CENTRES)]
     centres = found.groupBy("key").agg(*drawn, F.max(F.struct(F.col("copies").alias("x"), "rep", "class")).alias(f"c{MORE_CENTRES}"), F.min("class").alias("low"), F.max("class").alias("high"))
     other = F.explode(F.array(*[F.struct(F.col(f"c{k}.rep").alias("rep"), F.col(f"c{k}.class").alias("class")) for k in range(MORE_CENTRES + 1)])).alias("c")
-    centres = scratch.table(centres.filter("low != high"), "more-centres")
-    pairs = found.join(centres, "key").select("rep", "class", other).filter("class != c.class").select(*ordered("rep", "c.rep")).distinct()
+    sizes = found.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"))
+    centres = scratch.table(centres.filter("low != high").join(sizes, "key"), "more-centres")
+    # those of a bucket's largest class needn't look for others: the others look for them
+    pairs = found.join(centres, "key").filter("class != main.class").select("rep", "class", other).filter("class != c.class").select(*ordered("rep", "c.rep")).distinct()
     # sort-merge joins, as above
     a, b = single.select(F.col("rep").alias("a"), F.col("bands").alias("bands_a")), single.select(F.col("rep").alias("b"), F.col("bands").alias("bands_b"))
     alike = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(F.size(F.array_intersect("bands_a", "bands_b")) >= SHARED_BANDS).select("a", "b")
