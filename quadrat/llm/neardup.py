@@ -5,8 +5,8 @@ times its inverse document frequency. Improved consistent weighted sampling draw
 alike with a probability equal to their weighted Jaccard similarity. Draws are banded; documents that
 share a band are compared with two centres of that band, and a link stands if the similarity,
 computed from both whole texts, is high enough. Classes are the connected components. Where a
-band's documents are then still in several classes, each is compared with more centres of other
-classes, if they share several bands; so a document that is like some of a large group finds one of them.
+band's documents are then still in several classes, all of different classes are compared, in blocks;
+so no two documents that share a band stay apart without having been compared, unless links join them.
 
 Document frequency matters where it is high: it is exact for shingles in at least a share FLOOR of all
 documents, and all rarer ones weigh as if at FLOOR. A shingle that frequent in the whole is as
@@ -34,8 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 FLOOR = 0.01
 PART_DOCS, PART_SHINGLES = 4000, 4_000_000
-#: Centres drawn from each band's bucket in the last round, and bands that a pair then has to share.
-MORE_CENTRES, SHARED_BANDS = 8, 3
+#: Documents of a block of the last round, and shingles that a task keeps of documents it has read.
+BLOCK, MOST_HELD = 256, 4_000_000
 #: Up to so many named shingles are counted from a broadcast list, more by a shuffle.
 MOST_NAMED = 1_000_000
 SEED, TABLE_BITS, SLAB = 20_240_501, 16, 4096
@@ -250,6 +250,103 @@ def _verified(weighing, least: float):
     return run
 
 
+def _rest_of_buckets(found: DataFrame, centres: DataFrame, single: DataFrame, texts: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Blocks of documents that share a band and that no centre has joined, two blocks to a group (key, i, j), sorted by it.
+
+    A bucket's centres have met all others before. Documents of its largest class are in blocks of
+    their own, which meet all blocks of the others but not each other.
+    """
+    apart = found.join(centres, "key").filter("rep != one.rep and rep != two.rep").select("rep", "key", "class")
+    apart = scratch.table(apart, "not-centres")
+    sizes = apart.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("all"))
+    # stored sums, as above
+    split = scratch.table(sizes.filter("all > main.n").select("key", F.col("main.class").alias("main"), F.ceil(F.col("main.n") / block).alias("mains"), F.ceil((F.col("all") - F.col("main.n")) / block).alias("others")), "split")
+    is_main = F.col("class") == F.col("main")
+    own = F.when(is_main, -1 - F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.pmod(F.xxhash64("rep"), "others"))
+    met = F.sequence(F.when(is_main, F.lit(0)).otherwise(-F.col("mains")), F.col("others") - 1)
+    rows = apart.join(split, "key").select("rep", "key", "class", own.alias("own"), met.alias("met"))
+    rows = rows.select("rep", "key", "class", "own", F.explode("met").alias("with"))
+    rows = rows.select("rep", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("first"), "class")
+    # sort-merge joins, as in links
+    rows = rows.join(single.select("rep", "bands").hint("merge"), "rep").join(texts.hint("merge"), "rep")
+    group = ["key", "i", "j"]
+    return rows.select(*group, "rep", "class", "first", "bands", "text").repartition(*group).sortWithinPartitions(*group)
+
+
+def _compared(weighing, least: float):
+    """Links between documents of different classes, for groups as _rest_of_buckets gives them.
+
+    Each pair is compared in the first band that it shares; one that links of its group have joined needs no more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, recent, held = weighing.value, OrderedDict(), 0
+
+        def weighed(rep: int, text) -> tuple[np.ndarray, np.ndarray, float]:
+            nonlocal held
+            if rep not in recent:
+                h, n = shingles(_words(text))
+                weight = w.of(h, n)
+                recent[rep] = (h, weight, float(weight.sum()))
+                held += len(h)
+                while held > MOST_HELD and len(recent) > 1:
+                    held -= len(recent.popitem(last=False)[1][0])
+            recent.move_to_end(rep)
+            return recent[rep]
+
+        def links(key: int, i: int, j: int, rows: list[tuple]) -> list[tuple[int, int]]:
+            xs, ys = [r for r in rows if r[2]], [r for r in rows if not r[2]]
+            if i == j:
+                ys = xs
+            if not ys:
+                return []
+            out, up = [], {}
+
+            def top(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            first = len(xs) > len(ys)
+            few, many = (ys, xs) if first else (xs, ys)
+            known = [weighed(r[0], r[4]) for r in many]
+            total = np.array([k[2] for k in known])
+            bands, classes_ = np.stack([r[3] for r in many]), np.array([r[1] for r in many])
+            band = int(np.flatnonzero(bands[0] == key)[0])
+            for at, (rep, own, _, of, text) in enumerate(few):
+                h, weight, mine = weighed(rep, text)
+                # similarity is the smaller sum of weights over the larger one at most
+                near = (classes_ != own) & (np.minimum(total, mine) >= (least - 1e-9) * np.maximum(total, mine))
+                near &= ~(bands[:, :band] == of[:band]).any(1)
+                if i == j:
+                    near[: at + 1] = False
+                for k in np.flatnonzero(near):
+                    x, y = top(own), top(many[k][1])
+                    if x != y and similarity((h, weight), known[k][:2]) >= least:
+                        out.append((min(rep, many[k][0]), max(rep, many[k][0])))
+                        up[x] = y
+            return out
+
+        def all_links() -> Iterator[list[tuple[int, int]]]:
+            group, rows = None, []
+            for b in batches:
+                ids = zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "rep", "class", "first", "bands")), b.column("text"))
+                for key, i, j, rep, own, first, bands, text in ids:
+                    if group != (key, i, j):
+                        if group:
+                            yield links(*group, rows)
+                        group, rows = (key, i, j), []
+                    rows.append((rep, own, first, np.array(bands, np.int64), text))
+            if group:
+                yield links(*group, rows)
+
+        for found in all_links():
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return run
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> DataFrame:
     """One row per document: _rid, doc_id, class_id, class_size, kept.
 
@@ -298,18 +395,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     more = links(scratch.table(rest, "rest"), "links2").select("a", "b")
     both = scratch.table(near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "links12")
     roots = components(both, scratch, "second")
-    found = scratch.table(placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", "copies", F.coalesce("root", "rep").alias("class")), "placed-classes")
-    drawn = [F.max(F.struct(F.xxhash64("rep", "key", F.lit(k)).alias("x"), "rep", "class")).alias(f"c{k}") for k in range(MORE_CENTRES)]
-    centres = found.groupBy("key").agg(*drawn, F.max(F.struct(F.col("copies").alias("x"), "rep", "class")).alias(f"c{MORE_CENTRES}"), F.min("class").alias("low"), F.max("class").alias("high"))
-    other = F.explode(F.array(*[F.struct(F.col(f"c{k}.rep").alias("rep"), F.col(f"c{k}.class").alias("class")) for k in range(MORE_CENTRES + 1)])).alias("c")
-    sizes = found.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"))
-    centres = scratch.table(centres.filter("low != high").join(sizes, "key"), "more-centres")
-    # those of a bucket's largest class needn't look for others: the others look for them
-    pairs = found.join(centres, "key").filter("class != main.class").select("rep", "class", other).filter("class != c.class").select(*ordered("rep", "c.rep")).distinct()
-    # sort-merge joins, as above
-    a, b = single.select(F.col("rep").alias("a"), F.col("bands").alias("bands_a")), single.select(F.col("rep").alias("b"), F.col("bands").alias("bands_b"))
-    alike = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(F.size(F.array_intersect("bands_a", "bands_b")) >= SHARED_BANDS).select("a", "b")
-    last_links = links(scratch.table(alike, "alike"), "links3").select("a", "b")
+    found = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("root", "rep").alias("class"))
+    last_links = scratch.table(_rest_of_buckets(found, centres, single, texts, scratch).mapInArrow(_compared(weighing, least), "a long, b long"), "links3")
     roots = components(both.unionByName(last_links), scratch, "all")
     named = signed.join(first, "digest").select("_rid", "doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.table(named.select("_rid", "doc_id", F.coalesce("root", "rep").alias("class")), "named-rows")

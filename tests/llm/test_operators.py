@@ -221,6 +221,34 @@ def test_near_duplicates_against_all_pairs(spark, docs, cases, empty, tmp_path):
     assert neardup.drop_near_copies(docs).columns == docs.columns
 
 
+def _all_pairs(texts):
+    """The first row of each row's class, by comparing all pairs."""
+    sets = [neardup.shingles(t.encode().split()) for t in texts]
+    df = collections.Counter(x for h, _ in sets for x in h.tolist())
+    common = [x for x, n in df.items() if n >= neardup.FLOOR * len(texts)]
+    w = neardup.Weights(np.array(common, np.uint64), np.array([df[x] for x in common]), len(texts), neardup.FLOOR)
+    vectors = [(h, w.of(h, n)) for h, n in sets]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and neardup.similarity(vectors[i], vectors[j]) >= neardup.SIMILARITY:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_duplicates_in_buckets_of_many_classes(spark, tmp_path):
+    # a common passage puts all in large buckets at 0.75, and each is like its own partner alone, seldom a centre of these
+    rng = random.Random(3)
+    passage = words(rng, 800)
+    texts = [" ".join([passage, *(f"d{k}x{c}" for c in range(7)), *(f"d{k}{side}{c}" for c in range(13))]) for side in "yz" for k in range(150)]
+    path = str(tmp_path / "n")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    want = dict(enumerate(_all_pairs(texts)))
+    assert len(set(want.values())) == 150
+    assert {r.doc_id: r.class_id for r in neardup.classes(spark.read.parquet(path)).collect()} == want
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(4)
     h = np.sort(rng.integers(1 << 63, size=300, dtype=np.uint64))
