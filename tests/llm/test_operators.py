@@ -249,6 +249,18 @@ def test_near_duplicates_in_buckets_of_many_classes(spark, tmp_path):
     assert {r.doc_id: r.class_id for r in neardup.classes(spark.read.parquet(path)).collect()} == want
 
 
+def test_near_duplicates_of_single_members_of_a_large_class(spark, tmp_path):
+    # one large class in all buckets of the passage; each other document is like one member of it alone, at 0.84
+    rng = random.Random(4)
+    passage = words(rng, 800)
+    tails = [[f"d{k}x{c}" for c in range(10)] for k in range(150)]
+    texts = [" ".join([passage, *tail]) for tail in tails] + [" ".join([passage, *tail, *(f"d{k}y{c}" for c in range(24))]) for k, tail in enumerate(tails)]
+    path = str(tmp_path / "n")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    assert _all_pairs(texts) == [0] * len(texts)
+    assert {r.class_id for r in neardup.classes(spark.read.parquet(path)).collect()} == {0}
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(4)
     h = np.sort(rng.integers(1 << 63, size=300, dtype=np.uint64))
