@@ -285,7 +285,7 @@ def ap_drop_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ap.select("cls", "bin", "n_gt", F.round("ap", 6).alias("ap"))
 
 
-RESAMPLES = 20
+RESAMPLES = 1000
 _BOOT = (
     "units as (select seed, tile_id, row_number() over (order by ('0x' || substr(md5('0|' || seed || '|' || tile_id), 1, 8))::bigint, seed, tile_id) - 1 as number, count(*) over () as n from (select distinct seed, tile_id from gt))",
     f"draws as (select b as resample, ('0x' || substr(md5('0|' || b || '|' || k), 1, 8))::bigint % n as number from range({RESAMPLES}) as bs(b), (select number as k, n from units))",

@@ -1,9 +1,12 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quadrat.operators import evaluation as ev
 from quadrat.operators import matching as mt
+from quadrat.plans import detection as plans
 
 BOX = "seed int, tile_id long, cls int, {} int, x1 double, y1 double, x2 double, y2 double"
 
@@ -87,3 +90,39 @@ def test_bootstrap_draws_as_many_as_there_are(spark):
     units = spark.range(30).select(F.lit(0).alias("seed"), F.col("id").alias("tile_id"))
     w = ev.bootstrap_weights(units, ["seed", "tile_id"], 5).groupBy("resample").agg(F.sum("w").alias("n")).collect()
     assert sorted(r.n for r in w) == [30] * 5
+
+
+def test_bootstrap_queries_against_brute_force(spark):
+    sf, n = "/root/testdata/sf0.001", 1000
+
+    def digest(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+    gt = plans.gt_box(spark, sf)
+    units = sorted({(r.seed, r.tile_id) for r in gt.select("seed", "tile_id").collect()}, key=lambda u: (digest(0, *u), u))
+    number = {u: k for k, u in enumerate(units)}
+    w = np.array([np.bincount([digest(0, b, k) % len(units) for k in range(len(units))], minlength=len(units)) for b in range(n)])
+    truth = {}
+    for r in ev.truth_counts(gt, plans.UNIT).filter("bin = 'all'").collect():
+        truth.setdefault(r.cls, np.zeros(len(units)))[number[r.seed, r.tile_id]] += r.n_gt
+
+    def maps(arm):
+        rows = ev.evaluated(ev.top_k(plans._det(spark, sf, arm)), gt, plans.UNIT, [0.5]).filter("bin = 'all' and not ignored").collect()
+        rows.sort(key=lambda r: (-r.conf, r.seed, r.tile_id, r.did))
+        aps = []
+        for cls, n_gt in truth.items():
+            own = [r for r in rows if r.cls == cls]
+            at, tp = np.array([number[r.seed, r.tile_id] for r in own]), np.array([r.tp for r in own])
+            for b in range(n):
+                seen = np.cumsum(w[b, at])
+                hits = np.cumsum(w[b, at] * tp)[seen > 0]
+                rec, env = hits / (n_gt @ w[b]), np.maximum.accumulate((hits / seen[seen > 0])[::-1])[::-1]
+                aps.append(np.interp(np.arange(101) * 0.01, rec, env, right=0).mean())
+        return np.reshape(aps, (-1, n)).mean(0)
+
+    a, b = maps(0), maps(1)
+    got = plans.bootstrap_ci(spark, sf).first()
+    assert got.resamples == n and np.allclose([got.mean, got.low, got.high], [a.mean(), *np.quantile(a, [0.025, 0.975])], atol=2e-6)
+    d, got = b - a, plans.paired_bootstrap_delta(spark, sf).first()
+    assert got.resamples == n and np.allclose([got.delta, got.low, got.high], [d.mean(), *np.quantile(d, [0.025, 0.975])], atol=2e-6)
+    assert got.p == 2 * min((d <= 0).sum(), (d >= 0).sum()) / n
