@@ -2,7 +2,8 @@
 
 Each task tokenizes its documents and packs their pieces best-fit. Sequences that are nearly full
 are final; the others, with what they hold, are items of the next round, where fewer tasks pack the
-remains of several. The rounds end at one task, or when a round saves next to nothing.
+remains of several, down to one. Once a round saves next to nothing, only those that are at most half full
+go on, as any two of them fit into one.
 """
 
 from __future__ import annotations
@@ -210,15 +211,19 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     done = []
     rows = scratch.table(base.mapInArrow(_first_round(vocabulary, capacity, end_id, slack), BIN), "round0")
     tasks, before, k = max(1, rows.select(F.shiftright("sequence_id", 32)).distinct().count()), None, 0
+    going = "not final"
     while True:
-        left = rows.filter("not final").count()
-        if not left or (k and (tasks == 1 or left > 0.995 * before)):
+        left = rows.filter(going).count()
+        if going == "not final" and k and left > 0.995 * before:
+            going = f"not final and used <= {capacity // 2}"
+            left = rows.filter(going).count()
+        if left < 2 or (k and tasks == 1):
             done.append(rows)
             break
-        done.append(rows.filter("final"))
+        done.append(rows.filter(f"not ({going})"))
         tasks = max(1, -(-tasks // FAN_IN), -(-left // MOST_ITEMS))
         k, before = k + 1, left
-        rows = scratch.table(rows.filter("not final").select("used", "members").repartition(tasks).mapInArrow(_next_round(k, capacity, slack), BIN), f"round{k}")
+        rows = scratch.table(rows.filter(going).select("used", "members").repartition(tasks).mapInArrow(_next_round(k, capacity, slack), BIN), f"round{k}")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

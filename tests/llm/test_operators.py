@@ -80,6 +80,23 @@ def test_packing(docs, cases, empty):
     assert packing.pack(empty, vocabulary()).count() == 0
 
 
+def test_half_empty_sequences_of_many_tasks_meet(spark, tmp_path):
+    texts = [" one" * 69] * 250 + [" one" * 44]  # 70 and 45 ids, with the end id
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(t * 1000 + i, x) for t in range(72) for i, x in enumerate(texts)], "doc_id long, text string").repartitionByRange(72, "doc_id").write.parquet(path)
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        rows = packing.pack(spark.read.parquet(path), vocabulary(), capacity=100).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    used = collections.Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert len(rows) == 72 * 251 and {r.length for r in rows} == {70, 45}
+    assert sum(u <= 50 for u in used.values()) <= 1 and len(used) == 72 * 250 + 36
+
+
 def test_best_fit():
     bins = packing.best_fit([6, 5, 4, 5, 10, 1], 10)
     assert sorted(sum(([6, 5, 4, 5, 10, 1][i] for i in b)) for b in bins) == [1, 10, 10, 10]
