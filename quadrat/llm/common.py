@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Words of the text contracts: runs of characters other than these ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Type of place().
+AT = "struct<file:long,row:long>"
+#: A key is hot if it has more than one in so many rows.
+HOT = 1000
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests, one machine), an own one."""
+    """The folder named in spark.checkpoint.dir; where it is unset on one machine, an own one. On a cluster it must be set."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if said:
         return said.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         own = tempfile.mkdtemp(prefix="quadrat-")
@@ -60,8 +68,8 @@ def partitions(spark: SparkSession) -> int:
 def row_ids(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A row number unique in the table, so that repeated doc_ids and nulls stay apart.
 
-    It depends on the row's place in its scan partition: apply it to a table that is read from
-    files, or store what it gives.
+    Another scan may number the rows otherwise: store what it gives before it is used twice. Rows that
+    a second scan has to find again are told by place().
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
@@ -74,10 +82,56 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def pick_rows(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs by the numbers that row_ids gives them (ids: _rid); how is left_semi or left_anti."""
-    name = fresh(docs, "_rid")
-    return row_ids(docs, name).join(ids.withColumnRenamed("_rid", name), name, how).select(*docs.columns)
+def _from_files(docs: DataFrame) -> bool:
+    """Whether docs is no more than chosen rows and columns of Parquet files."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.children().size():
+        if node.children().size() > 1 or not node.deterministic() or node.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        node = node.children().apply(0)
+    if not node.nodeName().startswith(("Relation", "LogicalRelation")):
+        return False
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:  # files of another format
+        return False
+    return True
+
+
+def rooted(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """docs, if each of its rows can be found again in a second scan, else a stored copy."""
+    return docs if _from_files(docs) else scratch.table(docs, "given")
+
+
+def place(docs: DataFrame) -> Column:
+    """Where a row of docs (as rooted() gives it) is stored: its file, as 88 bits of hashes of the path, and its number in the file.
+
+    It is the same in every scan, however files are cut into tasks.
+    """
+    about = docs.metadataColumn("_metadata")
+    low = F.shiftleft(F.hash(about["file_path"]).cast("long"), 40) + about["row_index"]
+    return F.struct(F.xxhash64(about["file_path"]).alias("file"), low.alias("row"))
+
+
+def pick_rows(docs: DataFrame, places: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs (rooted) by place (places: _at); how is left_semi or left_anti."""
+    name = fresh(docs, "_at")
+    return docs.select("*", place(docs).alias(name)).join(places.select(F.col("_at").alias(name)), name, how).select(*docs.columns)
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """many joined with one, a stored table with a row for each value of keys and how many rows of many have it (count).
+
+    Keys with more than a thousandth of all rows are fewer than a thousand, so that their rows of one
+    may be broadcast: rows of a hot key are joined where they are, only the others are shuffled.
+    """
+    total = one.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * HOT > total
+    hot = one.filter(is_hot)
+    if not hot.limit(1).count():
+        return many.join(one.drop(count), keys)
+    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.filter(~is_hot).drop(count), keys)
+    return many.join(F.broadcast(hot.drop(count)), keys).unionByName(rest)
 
 
 def rank_within(scratch: Scratch, df: DataFrame, group: list[str], order: list[Column], name: str, label: str = "ranked") -> DataFrame:

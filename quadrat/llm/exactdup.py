@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, pick_rows, row_ids
+from .common import AT, Scratch, partitions, pick_rows, place, rooted, row_ids, spread_join
 
 BLOCK_BYTES = 4096
 
@@ -42,8 +42,8 @@ def _summaries(block: int, bits: int):
                 shas.append(hashlib.sha256(raw).hexdigest())
                 names.append([_hash(x, bits) for x in _cut(raw, block)])
             yield pa.record_batch(
-                [b.column("_rid"), b.column("doc_id"), pa.array(shas, pa.string()), pa.array(names, pa.list_(pa.int64()))],
-                names=["_rid", "doc_id", "text_sha256", "names"],
+                [b.column("_at"), b.column("doc_id"), pa.array(shas, pa.string()), pa.array(names, pa.list_(pa.int64()))],
+                names=["_at", "doc_id", "text_sha256", "names"],
             )
 
     return run
@@ -52,25 +52,25 @@ def _summaries(block: int, bits: int):
 def _blocks(block: int, bits: int, out_bytes: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rids, places, hashes, blocks, held = [], [], [], [], 0
+            rows, places, hashes, blocks, held = [], [], [], [], 0
 
             def batch() -> pa.RecordBatch:
                 return pa.record_batch(
-                    [pa.array(rids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(blocks, pa.binary())],
-                    names=["_rid", "place", "h", "block"],
+                    [b.column("_at").take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(blocks, pa.binary())],
+                    names=["_at", "place", "h", "block"],
                 )
 
-            for rid, text in zip(b.column("_rid").to_pylist(), b.column("text")):
-                for place, x in enumerate(_cut((text.as_py() or "").encode().lower(), block)):
-                    rids.append(rid)
-                    places.append(place)
+            for row, text in enumerate(b.column("text")):
+                for place_, x in enumerate(_cut((text.as_py() or "").encode().lower(), block)):
+                    rows.append(row)
+                    places.append(place_)
                     hashes.append(_hash(x, bits))
                     blocks.append(x)
                     held += len(x)
                     if held >= out_bytes:
                         yield batch()
-                        rids, places, hashes, blocks, held = [], [], [], [], 0
-            if rids:
+                        rows, places, hashes, blocks, held = [], [], [], [], 0
+            if rows:
                 yield batch()
 
     return run
@@ -87,28 +87,27 @@ def _named(scratch: Scratch, keys: DataFrame, columns: list[str], base: int, nam
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64, scratch: Scratch | None = None) -> DataFrame:
-    """_rid, doc_id, text_sha256 and identity of every row; equal identities if and only if equal texts.
+    """_rid, _at, doc_id, text_sha256 and identity of every row; equal identities if and only if equal texts.
 
-    docs has doc_id and text and comes from files. hash_bits below 64 is for tests of clashing hashes.
+    docs has doc_id and text. hash_bits below 64 is for tests of clashing hashes.
     A null text counts as empty. The work for a text of n blocks is that of n log n names.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "exactdup")
-    base = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    summary = scratch.table(
-        base.select("_rid", "doc_id", "text").mapInArrow(_summaries(block_bytes, hash_bits), "_rid long, doc_id long, text_sha256 string, names array<long>"),
-        "summary",
-    )
-    cut = base.select("_rid", "text").mapInArrow(_blocks(block_bytes, hash_bits), "_rid long, place int, h long, block binary")
-    contents = cut.groupBy("h", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("contents"))
+    docs = rooted(scratch, docs)
+    base = docs.select(place(docs).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    summary = scratch.table(row_ids(base.mapInArrow(_summaries(block_bytes, hash_bits), f"_at {AT}, doc_id long, text_sha256 string, names array<long>")), "summary")
+    cut = base.select("_at", "text").mapInArrow(_blocks(block_bytes, hash_bits), f"_at {AT}, place int, h long, block binary")
+    contents = cut.groupBy("h", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("n"))
     names, free = _named(scratch, contents, ["h"], 0, "names-blocks")
     placed = summary.select("_rid", F.posexplode("names").alias("place", "h"))
-    sole = placed.join(names.filter("contents = 1").select("h", "name"), "h").select("_rid", "place", "name")
+    sole = spread_join(placed, names.filter("contents = 1").select("h", "name", "n"), ["h"], "n").select("_rid", "place", "name")
     clashing = names.filter("contents > 1").select("h")
     if clashing.limit(1).count():
         among = cut.join(clashing, "h", "left_semi")
         told, free = _named(scratch, among.groupBy("h", "block").agg(F.count(F.lit(1)).alias("n")), ["h", "block"], free, "names-clashing")
-        sole = sole.unionByName(among.join(told.select("h", "block", "name"), ["h", "block"]).select("_rid", "place", "name"))
+        among = among.join(told.select("h", "block", "name"), ["h", "block"]).select("_at", "place", "name")
+        sole = sole.unionByName(among.join(summary.select("_at", "_rid"), "_at").select("_rid", "place", "name"))
 
     def gathered(placed: DataFrame) -> DataFrame:
         """A row's names in order; as many as its blocks."""
@@ -128,18 +127,18 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int =
             ).alias("place", "p"),
         ).select("_rid", "place", "p.a", "p.b")
         told, free = _named(scratch, pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), ["a", "b"], free, f"names{k}")
-        level = scratch.table(gathered(pairs.join(told.select("a", "b", "name"), ["a", "b"]).select("_rid", "place", "name")), f"level{k}")
+        level = scratch.table(gathered(spread_join(pairs, told, ["a", "b"], "n").select("_rid", "place", "name")), f"level{k}")
         done.append(level.filter(F.size("names") == 1))
         longest = (longest + 1) // 2
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
     found = found.select("_rid", F.col("names")[0].alias("identity"))
-    return summary.select("_rid", "doc_id", "text_sha256").join(found, "_rid")
+    return summary.select("_rid", "_at", "doc_id", "text_sha256").join(found, "_rid")
 
 
 def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
-    """One row per document: _rid, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: _at (its place), doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays; a null doc_id is the smallest, and of
     repeated rows with one doc_id exactly one stays. An empty table gives no rows; columns other than
@@ -148,9 +147,9 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64)
     scratch = Scratch(docs.sparkSession, "exactdup")
     found = scratch.table(identities(docs, block_bytes, hash_bits, scratch), "identities")
     keep = found.groupBy("identity").agg(F.max(F.struct("doc_id", "_rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-    keep = scratch.table(keep, "groups")  # stored, so that the join can split a large group
-    return found.join(keep, "identity").select(
-        "_rid",
+    keep = scratch.table(keep.withColumn("n", F.col("group_size")), "groups")
+    return spread_join(found, keep, ["identity"], "n").select(
+        "_at",
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
@@ -160,5 +159,7 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs (read from files) that stay, with all their columns."""
-    return pick_rows(docs, groups(docs).filter("kept").select("_rid"), "left_semi")
+    """The rows of docs that stay, with all their columns."""
+    scratch = Scratch(docs.sparkSession, "exactdup-kept")
+    docs = rooted(scratch, docs)
+    return pick_rows(docs, groups(docs).filter("kept"))

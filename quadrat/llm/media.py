@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, file_system, row_ids, task_stamp
+from .common import Scratch, file_system, partitions, row_ids, spread_join, task_stamp
 
 UNIT = 64
 RATE = 8000
@@ -30,6 +30,8 @@ LEAST, USUAL, MOST = 1024, 4096, 16384
 GEAR_WINDOW = 32
 SLAB = 1 << 20
 PACK_BYTES = 256 << 20
+#: Bytes of media that a task rebuilds, about.
+TASK_BYTES = 32 << 20
 #: Digests that a task remembers, and the share of a pack without use at which it is rewritten.
 MOST_KNOWN, MOST_DEAD = 500_000, 0.25
 
@@ -151,24 +153,24 @@ def _stores(folder: str):
 
 
 def store(docs: DataFrame, folder: str, scratch: Scratch, most_dead: float = MOST_DEAD) -> tuple[DataFrame, DataFrame]:
-    """Store the texts of docs (doc_id, text; from files) as media: the media table and the chunk table.
+    """Store the texts of docs (doc_id, text) as media: the media table and the chunk table.
 
     media: _rid, doc_id, n_bytes, payload_bytes, media_bytes, media_sha256, chunks (digests, in order).
-    chunks: digest, bytes and the one place (pack, start, length) that holds it.
+    chunks: digest, bytes, uses (places in lists) and the one place (pack, start, length) that holds it.
     """
     base = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     ddl = "_rid long, doc_id long, n_bytes long, payload_bytes long, media_bytes long, media_sha256 binary, chunks array<struct<digest:binary,bytes:int,pack:string,start:long,length:long>>"
     listed = scratch.table(base.select("_rid", "doc_id", "text").mapInArrow(_stores(folder), ddl), "listed")
     placed = listed.select(F.explode("chunks").alias("c")).select("c.*")
-    chosen = scratch.table(placed.groupBy("digest").agg(F.max("bytes").alias("bytes"), F.min(F.struct("pack", "start", "length")).alias("at")).select("digest", "bytes", "at.*"), "chunks")
+    chosen = scratch.table(placed.groupBy("digest").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("uses"), F.min(F.struct("pack", "start", "length")).alias("at")).select("digest", "bytes", "uses", "at.*"), "chunks")
     written = placed.select(*PLACE_COLUMNS).distinct().groupBy("pack").agg(F.sum("length").alias("written"))
     used = chosen.groupBy("pack").agg(F.sum("length").alias("used"))
     dead = scratch.table(
         written.join(used, "pack", "left").select("pack", "written", F.coalesce("used", F.lit(0)).alias("used")).filter(F.col("used") < (1 - most_dead) * F.col("written")), "dead"
     )
     if dead.limit(1).count():
-        moved = scratch.table(chosen.join(dead.select("pack"), "pack").groupBy("pack").applyInArrow(_moves(folder), f"digest binary, bytes int, {PLACE}"), "moved")
-        kept = chosen.join(dead.select("pack"), "pack", "left_anti").select("digest", "bytes", *PLACE_COLUMNS)
+        moved = scratch.table(chosen.join(dead.select("pack"), "pack").groupBy("pack").applyInArrow(_moves(folder), f"digest binary, bytes int, uses long, {PLACE}"), "moved")
+        kept = chosen.join(dead.select("pack"), "pack", "left_anti").select("digest", "bytes", "uses", *PLACE_COLUMNS)
         chosen = scratch.table(kept.unionByName(moved), "chunks-moved")
         dead.mapInArrow(_deletes(folder), "pack string").count()
     return listed, chosen
@@ -185,7 +187,7 @@ def _moves(folder: str):
                 source.seek(start)
                 places.append(out.add(source.read(length)))
         out.close()
-        return pa.table({"digest": table["digest"], "bytes": table["bytes"], "pack": [p for p, _, _ in places], "start": [s for _, s, _ in places], "length": [n for _, _, n in places]})
+        return pa.table({"digest": table["digest"], "bytes": table["bytes"], "uses": table["uses"], "pack": [p for p, _, _ in places], "start": [s for _, s, _ in places], "length": [n for _, _, n in places]})
 
     return run
 
@@ -270,12 +272,15 @@ READ_DDL = "_rid long, doc_id long, n_bytes long, payload_bytes long, payload_sh
 def load(media: DataFrame, chunks: DataFrame, folder: str, scratch: Scratch, with_bytes: bool = False) -> DataFrame:
     """Rebuild media from their chunk lists and check them: sizes, digests, features, and payloads with with_bytes.
 
-    A row's list is as long as its media; the lists alone are shuffled.
+    A row's list is as long as its media; the lists alone are shuffled, to as many tasks as the media
+    have TASK_BYTES, as a small list may stand for large media.
     """
+    total = media.agg(F.sum("media_bytes")).first()[0] or 0
+    n = max(partitions(media.sparkSession), -(-total // TASK_BYTES))
     listed = media.select("_rid", F.posexplode("chunks.digest").alias("chunk_no", "digest"))
-    placed = listed.join(chunks.select("digest", *PLACE_COLUMNS), "digest")
-    rows = placed.groupBy("_rid").agg(F.collect_list(F.struct("chunk_no", "digest", *PLACE_COLUMNS)).alias("chunks"))
-    whole = media.drop("chunks").join(rows, "_rid")
+    placed = spread_join(listed, chunks.select("digest", "uses", *PLACE_COLUMNS), ["digest"], "uses")
+    rows = placed.repartition(n, "_rid").groupBy("_rid").agg(F.collect_list(F.struct("chunk_no", "digest", *PLACE_COLUMNS)).alias("chunks"))
+    whole = media.drop("chunks").repartition(n, "_rid").join(rows.hint("merge"), "_rid")
     return whole.mapInArrow(_reads(folder, with_bytes), READ_DDL)
 
 

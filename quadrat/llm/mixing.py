@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, fresh, rank_within, row_ids
+from .common import WORD, Scratch, fresh, place, rank_within, rooted
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -49,19 +49,20 @@ def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGH
 
 
 def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """One row per document: _rid, doc_id, size, source_size, target, copies, taken.
+    """One row per document: _at (its place), doc_id, size, source_size, target, copies, taken.
 
-    docs has doc_id, text and source and comes from files; other columns are ignored. A null text
+    docs has doc_id, text and source; other columns are ignored. A null text
     has size 0; null is a source of its own. Equal documents are told apart by their places, so that
     reruns agree. An empty table gives no rows; a source without words has target 0 and gives none.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    base = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")))
+    docs = rooted(scratch, docs)
+    base = docs.select(place(docs).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     sizes = scratch.table(
-        base.select("_rid", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes"
+        base.select("_at", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes"
     )
     goal = targets(scratch, sizes, weights, most)
-    order = [F.col("size").asc(), F.md5(F.col("doc_id").cast("string")).asc_nulls_first(), F.col("_rid").asc()]
+    order = [F.col("size").asc(), F.md5(F.col("doc_id").cast("string")).asc_nulls_first(), F.col("_at").asc()]
     ranked = rank_within(scratch, sizes, ["source"], order, "rank", "documents-ranked")
     named = goal.withColumnRenamed("source", "_s")
     joined = ranked.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -71,12 +72,13 @@ def plan(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, mos
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(rate * F.col("rank") + offset) - F.floor(rate * (F.col("rank") - 1) + offset)
     copies = F.least(crossed, F.lit(most).cast("long"))  # rounding may add one where the rate is the most
-    return joined.select("_rid", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select("_at", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mixed corpus: docs' rows with all their columns, each as often as the plan says."""
-    rid, n = fresh(docs, "_rid"), fresh(docs, "_copies")
-    taken = plan(docs, seed, weights, most).filter("copies > 0").select(F.col("_rid").alias(rid), F.col("copies").alias(n))
+    docs = rooted(Scratch(docs.sparkSession, "mixing-given"), docs)
+    at, n = fresh(docs, "_at"), fresh(docs, "_copies")
+    taken = plan(docs, seed, weights, most).filter("copies > 0").select(F.col("_at").alias(at), F.col("copies").alias(n))
     repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(fresh(docs, "_copy"))
-    return row_ids(docs, rid).join(taken, rid).select(*docs.columns, repeated).select(*docs.columns)
+    return docs.select("*", place(docs).alias(at)).join(taken, at).select(*docs.columns, repeated).select(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick_rows, row_ids
+from .common import AT, Scratch, pick_rows, place, rooted, row_ids, spread_join
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -38,6 +38,8 @@ PART_DOCS, PART_SHINGLES = 4000, 4_000_000
 BLOCK, MOST_HELD = 256, 4_000_000
 #: Up to so many named shingles are counted from a broadcast list, more by a shuffle.
 MOST_NAMED = 1_000_000
+#: 256 MB of common shingles; documents would have 160,000 words each on average to have as many.
+MOST_COMMON = 16_000_000
 SEED, TABLE_BITS, SLAB = 20_240_501, 16, 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,13 +195,17 @@ def weights(docs: DataFrame, scratch: Scratch, floor: float = FLOOR, most_named:
     if not n:
         return Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, floor)
     if n <= most_named:
-        known = np.sort(np.array([r.h for r in named.select("h").collect()], np.int64).view(np.uint64))
+        known = np.sort(named.select("h").toArrow()["h"].to_numpy().view(np.uint64))
         counted = docs.select("text").mapInArrow(_counted(docs.sparkSession.sparkContext.broadcast(known)), "h long, n long")
     else:
         counted = docs.select("text").mapInArrow(_all_shingles, "h long, n long").join(named.select("h"), "h", "left_semi")
     # of these there are at most (shingles per document) / floor
-    common = counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor * total).collect()
-    return Weights(np.array([r.h for r in common], np.int64).view(np.uint64), np.array([r.n for r in common], np.int64), total, floor)
+    common = scratch.table(counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor * total), "common")
+    n = common.count()
+    if n > MOST_COMMON:
+        raise ValueError(f"{n} shingles are in at least {floor:.2%} of all documents each, which is too many to broadcast; a higher floor names fewer")
+    found = common.toArrow()
+    return Weights(found["h"].to_numpy().view(np.uint64), found["n"].to_numpy(), total, floor)
 
 
 def _signed(weighing, bands: int, rows: int):
@@ -214,7 +220,7 @@ def _signed(weighing, bands: int, rows: int):
                 h, n = shingles(words)
                 keys.append(_band_keys(sampler.draw(h, w.of(h, n)), bands) if len(h) else [])
             yield pa.record_batch(
-                [b.column("_rid"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_rid", "doc_id", "digest", "bands"]
+                [b.column("_at"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_at", "doc_id", "digest", "bands"]
             )
 
     return run
@@ -348,20 +354,21 @@ def _compared(weighing, least: float):
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> DataFrame:
-    """One row per document: _rid, doc_id, class_id, class_size, kept.
+    """One row per document: _at (its place), doc_id, class_id, class_size, kept.
 
     class_id is the smallest doc_id of the class, and its row stays (of repeated rows one; a null
-    doc_id is the largest). docs has doc_id and text and comes from files; other columns are ignored.
+    doc_id is the largest). docs has doc_id and text; other columns are ignored.
     Rows with equal words are one class; null and empty texts are equal. Texts of fewer than five words
     are one shingle. An empty table gives no rows. Groups of equal texts are compared once, by one row.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    base = row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    docs = rooted(scratch, docs)
+    base = docs.select(place(docs).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weighing = spark.sparkContext.broadcast(weights(base, scratch, floor))
-    signed = scratch.table(base.select("_rid", "doc_id", "text").mapInArrow(_signed(weighing, bands, rows), "_rid long, doc_id long, digest binary, bands array<long>"), "signed")
+    signed = scratch.table(row_ids(base.mapInArrow(_signed(weighing, bands, rows), f"_at {AT}, doc_id long, digest binary, bands array<long>")), "signed")
     first = scratch.table(signed.groupBy("digest").agg(F.min("_rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "first")
-    single = scratch.table(signed.join(first.select("rep", "copies"), F.col("_rid") == F.col("rep")).select("rep", "copies", "bands"), "single")
+    single = scratch.table(signed.join(first.select("rep", "copies"), F.col("_rid") == F.col("rep")).select("rep", "_at", "copies", "bands"), "single")
     alone = single.select("rep", "copies", F.explode("bands").alias("key"))
     # stored sums, so that joins with them can split a frequent key
     crowded = scratch.table(alone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
@@ -379,9 +386,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
     # sort-merge joins at every size: what moves grows in proportion, and a centre's rows can be split
-    texts = scratch.table(
-        base.select(F.col("_rid").alias("rep"), "text").join(paired.select("rep").distinct().hint("merge"), "rep", "left_semi"), "texts"
-    )
+    wanted = scratch.table(single.select("rep", "_at").join(paired.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    texts = scratch.table(base.select("_at", "text").join(wanted.hint("merge"), "_at").select("rep", "text"), "texts")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
@@ -398,14 +404,16 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     found = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("root", "rep").alias("class"))
     last_links = scratch.table(_rest_of_buckets(found, centres, single, texts, scratch).mapInArrow(_compared(weighing, least), "a long, b long"), "links3")
     roots = components(both.unionByName(last_links), scratch, "all")
-    named = signed.join(first, "digest").select("_rid", "doc_id", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = scratch.table(named.select("_rid", "doc_id", F.coalesce("root", "rep").alias("class")), "named-rows")
+    first = scratch.table(first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("root", "rep").alias("class")), "first-classes")
+    named = scratch.table(spread_join(signed.select("digest", "_rid", "_at", "doc_id"), first, ["digest"], "copies").drop("digest"), "named-rows")
     last = F.lit((1 << 63) - 1)
     sums = named.groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "_rid")).alias("keep"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    sums = scratch.table(sums, "classes")  # stored, so that the join can split a large class
-    return named.join(sums, "class").select("_rid", "doc_id", "class_id", "class_size", (F.col("_rid") == F.col("keep._rid")).alias("kept"))
+    sums = scratch.table(sums.withColumn("_n", F.col("class_size")), "classes")
+    return spread_join(named, sums, ["class"], "_n").select("_at", "doc_id", "class_id", "class_size", (F.col("_rid") == F.col("keep._rid")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs (read from files) that stay, one of each class, with all their columns."""
-    return pick_rows(docs, classes(docs, least).filter("kept").select("_rid"), "left_semi")
+    """The rows of docs that stay, one of each class, with all their columns."""
+    scratch = Scratch(docs.sparkSession, "neardup-kept")
+    docs = rooted(scratch, docs)
+    return pick_rows(docs, classes(docs, least).filter("kept"))

@@ -26,7 +26,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdup.groups(_docs(spark, sf_dir)).drop("_rid")
+    return exactdup.groups(_docs(spark, sf_dir)).drop("_at")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(_docs(spark, sf_dir)).drop("_rid")
+    return neardup.classes(_docs(spark, sf_dir)).drop("_at")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("_rid")
+    return toxicity.scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """WARC archives as chunked record tables.
 
-On the way out and back a payload is a run of rows (record, chunk number, chunk), so that no task
-holds a whole payload outside the row it came from. Chunks read back carry the digest and length of
-the payload so far: the last one's digest is the payload's. Payloads stored once already are
-written as revisit records that refer to the response.
+On the way out and back a payload is a run of rows (record, chunk number, chunk, length and digest of
+the payload so far): the last one's digest is the payload's. Going out, chunks are views of the row that
+a payload came in, never a copy of it; coming back, no more than a chunk is held. Payloads stored once
+already are written as revisit records that refer to the response.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, file_system, partitions, row_ids, task_stamp
+from .common import AT, Scratch, file_system, partitions, place, rooted, task_stamp
 
 LEAST_REVISIT = 1000
-CHUNK_CHARS = 65_536
 CHUNK_BYTES = 262_144
 READ_BYTES = 1 << 20
 FILE_BYTES = 1 << 30
+BATCH_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page"
 
@@ -35,35 +35,88 @@ CHUNK = pa.schema([
 CHUNK_DDL = "record_id string, record_type string, page_id long, uri string, refers_to long, chunk_no long, chunk binary, bytes_so_far long, sha1_so_far string, last boolean, payload_bytes long, payload_digest string"
 
 
+OUT = pa.schema([
+    ("_at", pa.struct([("file", pa.int64()), ("row", pa.int64())])), ("page_id", pa.int64()), ("url", pa.string()), ("again", pa.bool_()), ("to_page", pa.int64()), ("to_at", pa.struct([("file", pa.int64()), ("row", pa.int64())])),
+    ("size", pa.int64()), ("sha1", pa.string()), ("chunk_no", pa.int64()), ("chunk", pa.binary()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("last", pa.bool_()),
+])
+OUT_DDL = f"_at {AT}, page_id long, url string, again boolean, to_page long, to_at {AT}, size long, sha1 string, chunk_no long, chunk binary, bytes_so_far long, sha1_so_far string, last boolean"
+
+
+def _view(text) -> memoryview:
+    """The bytes of a string in an Arrow column, where they are."""
+    return memoryview(text.as_buffer() if text.is_valid else b"")
+
+
+def _cut(payload: memoryview) -> Iterator[memoryview]:
+    """Views of a payload's chunks; an empty one has an empty chunk."""
+    for a in range(0, max(1, len(payload)), CHUNK_BYTES):
+        yield payload[a : a + CHUNK_BYTES]
+
+
+def _digest(payload: memoryview, *kinds) -> list[str]:
+    """Digests, chunk by chunk."""
+    sums = [k() for k in kinds]
+    for chunk in _cut(payload):
+        for x in sums:
+            x.update(chunk)
+    return [x.hexdigest() for x in sums]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        views = [_view(x) for x in b.column("html")]
+        digests = [_digest(v, hashlib.sha1, hashlib.sha256) for v in views]
+        columns = [pa.array([len(v) for v in views], pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in range(2))]
+        yield pa.record_batch([b.column("_at"), b.column("page_id"), *columns], names=["_at", "page_id", "size", "sha1", "sha2"])
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pages to rows of chunks. A revisit has size and digest already and one empty chunk."""
+    names = ["_at", "page_id", "url", "again", "to_page", "to_at", "size", "sha1"]
+    for b in batches:
+        rows, held = [], 0
+        for row, html in zip(b.select(names).to_pylist(), b.column("html")):
+            payload = _view(html)
+            if not row["again"]:
+                row |= {"size": len(payload), "sha1": _digest(payload, hashlib.sha1)[0]}
+            sha, total = hashlib.sha1(), 0
+            about = tuple(row[k] for k in names)
+            for no, chunk in enumerate(_cut(payload)):
+                sha.update(chunk)
+                total += len(chunk)
+                rows.append((*about, no, chunk, total, sha.hexdigest(), total == len(payload)))
+                held += 300 + len(chunk)
+                if held >= BATCH_BYTES:
+                    yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), OUT)], schema=OUT)
+                    rows, held = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows), OUT)], schema=OUT)
+
+
 def records(pages: DataFrame, scratch: Scratch, least: int = LEAST_REVISIT) -> DataFrame:
-    """Chunk rows of pages, with the decision which record holds each payload.
+    """Chunk rows of pages (OUT), with the decision which record holds each payload.
 
-    pages has page_id, url and html and comes from files. Of rows with equal payloads of at least
-    least bytes, that with the largest page_id (null: smallest; of repeated rows one) is the response.
+    pages has page_id, url and html. Of rows with equal payloads of at least least bytes, that with the
+    largest page_id (null: smallest; of repeated rows one) is the response.
     """
-    base = row_ids(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")))
-    raw = F.encode("html", "UTF-8")
-    keys = scratch.table(base.select("_rid", "page_id", F.octet_length("html").cast("long").alias("size"), F.sha1(raw).alias("sha1"), F.sha2(raw, 256).alias("sha2")), "keys")
+    pages = rooted(scratch, pages)
+    base = pages.select(place(pages).alias("_at"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    keys = scratch.table(base.select("_at", "page_id", "html").mapInArrow(_keys, f"_at {AT}, page_id long, size long, sha1 string, sha2 string"), "keys")
     same = ["size", "sha1", "sha2"]
-    held = keys.filter(F.col("size") >= least).groupBy(*same).agg(F.max(F.struct("page_id", "_rid")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    revisits = scratch.table(
-        keys.join(held, same).filter("_rid != first._rid").select("_rid", F.lit(True).alias("again"), F.col("first.page_id").alias("to_page"), F.col("first._rid").alias("to_rid")),
-        "revisits",
-    )
-    rows = base.join(revisits, "_rid", "left")
-    payload = F.when(F.col("again"), F.array(F.lit(""))).when(F.col("html") == "", F.array(F.lit("")))
-    chunks = payload.otherwise(F.regexp_extract_all("html", F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0)))
-    return rows.select(
-        "_rid", "page_id", "url", "again", "to_page", "to_rid", F.octet_length("html").cast("long").alias("size"), F.sha1(raw).alias("sha1"), F.posexplode(chunks).alias("chunk_no", "chunk")
-    )
+    held = keys.filter(F.col("size") >= least).groupBy(*same).agg(F.max(F.struct("page_id", "_at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = scratch.table(held, "shared")  # stored, so that the join can split a payload of very many pages
+    again = keys.join(held, same).filter("_at != first._at")
+    revisits = scratch.table(again.select("_at", F.lit(True).alias("again"), F.col("first.page_id").alias("to_page"), F.col("first._at").alias("to_at"), "size", "sha1"), "revisits")
+    rows = base.join(revisits, "_at", "left").withColumns({"again": F.coalesce("again", F.lit(False)), "html": F.when(F.col("again").isNull(), F.col("html"))})
+    return rows.mapInArrow(_chunked, OUT_DDL)
 
 
-def _urn(page_id, rid) -> str:
-    return f"<{URN}:{'' if page_id is None else page_id}:{rid}>"
+def _urn(page_id, at: dict) -> str:
+    return f"<{URN}:{'' if page_id is None else page_id}:{at['file'] % (1 << 64):016x}{at['row'] % (1 << 64):016x}>"
 
 
 def _page(urn: str | None) -> int | None:
-    m = re.fullmatch(rf"<{URN}:(-?\d*):\d+>", urn or "")
+    m = re.fullmatch(rf"<{URN}:(-?\d*):[0-9a-f]{{32}}>", urn or "")
     return int(m[1]) if m and m[1] else None
 
 
@@ -73,7 +126,7 @@ def _head(row: dict) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if row['again'] else 'response'}",
-        f"WARC-Record-ID: {_urn(row['page_id'], row['_rid'])}",
+        f"WARC-Record-ID: {_urn(row['page_id'], row['_at'])}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(row["sha1"])).decode(),
@@ -81,7 +134,7 @@ def _head(row: dict) -> bytes:
         f"Content-Length: {len(http) + (0 if row['again'] else row['size'])}",
     ]
     if row["again"]:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(row['to_page'], row['to_rid'])}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(row['to_page'], row['to_at'])}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
@@ -116,7 +169,9 @@ def _writer(folder: str, file_bytes: int, level: int):
                         out = fs.open_output_stream(f"{path}/{name}", compression=None)
                     member = zlib.compressobj(level, zlib.DEFLATED, 31)
                     size += out.write(member.compress(_head(row)))
-                size += out.write(member.compress(chunk.as_py().encode()))
+                size += out.write(member.compress(memoryview(chunk.as_buffer())))
+                if row["last"] and not row["again"] and (row["sha1_so_far"], row["bytes_so_far"]) != (row["sha1"], row["size"]):
+                    raise ValueError(f"chunks of {row['page_id']} differ from the digest in its head")
         if out:
             end_record()
             out.close()
