@@ -54,7 +54,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_pairs(chat.batch_negatives(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    rows = chat.format_pairs(chat.batch_negatives(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return rows.withColumns({"chosen_train": chat.shown("chosen_train"), "rejected_train": chat.shown("rejected_train")})
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op7_mixing, op8_exact_dedup, op9_warc, op10_substring_dedup, op5_near_dedup, op3_toxicity, op6_media_columns, op2_secret_scan, op4_chat_format)}
@@ -123,16 +124,23 @@ SQL = {
     "op4_chat_format": r"""
         with t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls last, role nulls last, text nulls last) as no from conversations),
         l as (select conv_id, max(no) as last from t where role = 'assistant' group by conv_id),
-        c as (select t.*, l.last from t join l using (conv_id) where no <= last),
+        a as (select t.*, l.last from t left join l using (conv_id)),
+        c as (select * from a where no <= last),
         f as (select conv_id, text, row_number() over (order by md5(conv_id::varchar), conv_id) as rank, count(*) over () as n from c where no = last),
         s as (select conv_id as pair_id, 'chosen' as side, no, role, text from c
               union all select conv_id, 'rejected', no, role, text from c where no < last
               union all select c.conv_id, 'rejected', c.no, c.role, g.text from c join f on c.conv_id = f.conv_id join f g on g.rank = f.rank % f.n + 1 where c.no = c.last),
         d as (select pair_id, no, count(distinct side) as n, count(distinct row(role, text)) as k from s group by pair_id, no),
         p as (select pair_id, min(case when n < 2 or k > 1 then no end) as first from d group by pair_id),
-        j as (select s.*, first is null or no < first as shared, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, coalesce(text, '') as content from s join p using (pair_id))
-        select pair_id, case when shared then 'prompt' else side end as part, no, role, head || content || '<|end|>' || chr(10) as rendered,
-               case when not shared and role = 'assistant' then length(head) else 0 end::int as train_from,
-               case when not shared and role = 'assistant' then length(head) + length(content) else 0 end::int as train_to
-        from j where not shared or side = 'chosen'""",
+        j as (select s.*, first is null or no < first as shared from s join p using (pair_id)),
+        k as (select pair_id, case when shared then 'prompt' else side end as part, no, role, text, not shared and role = 'assistant' as trained from j where not shared or side = 'chosen'
+              union all select conv_id, 'rest', no, role, text, false from a where last is null or no > last),
+        r as (select *, (no - 1) // 256 as segment, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, coalesce(text, '') as content from k),
+        e as (select *, head || content || '<|end|>' || chr(10) as rendered from r),
+        o as (select *, sum(length(rendered)) over (partition by pair_id, part, segment order by no) - length(rendered) + length(head) as a from e)
+        select pair_id, segment::int as segment, coalesce(string_agg(rendered, '' order by no) filter (part = 'prompt'), '') as prompt, coalesce(string_agg(rendered, '' order by no) filter (part = 'chosen'), '') as chosen,
+               coalesce(string_agg(rendered, '' order by no) filter (part = 'rejected'), '') as rejected, coalesce(string_agg(rendered, '' order by no) filter (part = 'rest'), '') as rest,
+               coalesce(string_agg(a::bigint || ':' || (a + length(content))::bigint, ',' order by no) filter (part = 'chosen' and trained and content <> ''), '') as chosen_train,
+               coalesce(string_agg(a::bigint || ':' || (a + length(content))::bigint, ',' order by no) filter (part = 'rejected' and trained and content <> ''), '') as rejected_train
+        from o group by pair_id, segment""",
 }

@@ -171,28 +171,71 @@ def test_toxicity(spark, docs, empty, tmp_path):
     assert len(odd) == docs.count() and all(r.predicted == 0 for r in odd)
     assert toxicity.scores(empty, table.select("doc_id", "toxic").limit(0)).count() == 0
     assert toxicity.drop_toxic(docs, table.select("doc_id", "toxic").limit(0)).columns == docs.columns
+    assert toxicity.scores(empty, table.select("doc_id", "toxic")).count() == 0 and toxicity.drop_toxic(empty, table.select("doc_id", "toxic")).count() == 0
+    clean = toxicity.drop_toxic(table.withColumn("_text", F.lit(None).cast("string")), table.select("doc_id", "toxic"))
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, r in got.items() if not r.predicted) and clean.columns == ["doc_id", "text", "toxic", "_text"]
+
+
+def test_toxicity_trains_on_long_texts_and_one_of_repeated_ids(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        w = [f"a{rng.randrange(3000)}" for _ in range(5000 if i % 2 else 40)]
+        if i % 4 == 1:  # all toxic texts are long
+            w[rng.randrange(len(w))] = "vile"
+        rows.append((i, " ".join(w), int(i % 4 == 1)))
+    repeats = [(i, f"{t} {k}", x) for i, t, x in rows[:8] for k in range(40)]
+    spark.createDataFrame(rows + repeats, "doc_id long, text string, toxic int").write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    labels = table.select("doc_id", "toxic")
+    seen = [(r.predicted, r.doc_id % 4 == 1) for r in toxicity.scores(table.select("doc_id", "text"), labels).collect() if not r.held_out]
+    assert np.mean([p == t for p, t in seen]) > 0.9
+    first = toxicity.fit(table, labels)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        again = toxicity.fit(table.repartition(7), labels)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (first.embedding == again.embedding).all() and first.thresholds == again.thresholds
 
 
 # -- chat ----------------------------------------------------------------------------------------
 
 
-def test_chat(spark, tmp_path):
+def test_chat_turns(spark):
     S = "pair_id long, side string, no long, role string, text string"
     rows = [(1, "chosen", 1, "user", "hi"), (1, "chosen", 2, "assistant", "good"), (1, "rejected", 1, "user", "hi"), (1, "rejected", 2, "assistant", "bad"), (1, "rejected", 3, "user", None)]
-    rows += [(2, s, n, "user", None) for s in ("chosen", "rejected") for n in (1, 2)] + [(3, "chosen", 1, None, "x"), (3, "rejected", 1, "", "x"), (None, "chosen", 1, "assistant", "é")]
-    got = {(r.pair_id, r.part, r.no): r for r in chat.format_pairs(spark.createDataFrame(rows, S)).collect()}
-    assert set(got) == {(1, "prompt", 1), (1, "chosen", 2), (1, "rejected", 2), (1, "rejected", 3), (2, "prompt", 1), (2, "prompt", 2), (3, "chosen", 1), (3, "rejected", 1), (None, "chosen", 1)}
+    rows += [(2, s, n, "user", None) for s in ("chosen", "rejected") for n in (1, 2)] + [(3, "chosen", 1, None, "x"), (3, "rejected", 1, "", "x"), (None, "chosen", 1, "assistant", "é"), (1, "rest", 4, "user", "z"), (4, "rest", 1, "assistant", "z")]
+    table = spark.createDataFrame(rows, S)
+    got = {(r.pair_id, r.part, r.no): r for r in chat.turn_rows(table).collect()}
+    assert set(got) == {(1, "prompt", 1), (1, "chosen", 2), (1, "rejected", 2), (1, "rejected", 3), (2, "prompt", 1), (2, "prompt", 2), (3, "chosen", 1), (3, "rejected", 1), (None, "chosen", 1), (1, "rest", 4), (4, "rest", 1)}
     r = got[1, "chosen", 2]
     assert r.rendered == "<|assistant|>\ngood<|end|>\n" and r.rendered[r.train_from : r.train_to] == "good"
-    assert got[1, "prompt", 1].train_to == 0 and got[1, "rejected", 3].train_to == 0 and got[3, "chosen", 1].rendered.startswith("<|unknown|>")
-    path = str(tmp_path / "c")
-    C = "conv_id long, turn long, role string, text string, no int"
-    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c if t == 1 else 0} {t}", 1) for c in range(4) for t in range(3)] + [(9, 0, "user", "only", 1), (None, None, None, None, None)]
-    spark.createDataFrame(turns, C).write.parquet(path)
-    out = chat.format_pairs(chat.batch_negatives(spark.read.parquet(path))).collect()
-    assert {r.pair_id for r in out} == {0, 1, 2, 3} and all(len([r for r in out if r.pair_id == c]) == 3 for c in range(4))
-    assert sorted(r.rendered for r in out if r.part == "rejected") == sorted(r.rendered for r in out if r.part == "chosen")
-    assert chat.format_pairs(chat.batch_negatives(spark.read.parquet(path).limit(0))).count() == 0
+    assert got[1, "prompt", 1].train_to == 0 and got[1, "rejected", 3].train_to == 0 and got[3, "chosen", 1].rendered.startswith("<|unknown|>") and got[4, "rest", 1].train_to == 0
+    whole = {r.pair_id: r for r in chat.format_pairs(table).collect()}
+    assert set(whole) == {1, 2, 3, 4, None} and whole[1].prompt == "<|user|>\nhi<|end|>\n" and whole[2].chosen == "" and whole[4].rest == "<|assistant|>\nz<|end|>\n"
+    assert [whole[1].chosen[x["from"] : x["to"]] for x in whole[1].chosen_train] == ["good"] and [whole[None].chosen[x["from"] : x["to"]] for x in whole[None].chosen_train] == ["é"]
+    assert whole[1].rejected == "<|assistant|>\nbad<|end|>\n<|user|>\n<|end|>\n" and not whole[3].chosen_train
+
+
+def test_chat(spark, tmp_path):
+    C = "conv_id string, turn long, role string, text string, no int"
+    turns = [(f"c{c}", t, "user" if t % 2 == 0 else "assistant", f"{c if t == 1 else 0} {t}", 1) for c in range(4) for t in range(3)] + [("u", 0, "user", "only", 1), (None, None, None, None, None)]
+    turns += [("c0", 0, "user", "0 0", 1)]  # a repeated turn
+    turns += [("long", t, "user" if t % 2 == 0 else "assistant", f"turn {t}", 1) for t in range(1500)]
+    spark.createDataFrame(turns, C).write.parquet(str(tmp_path / "c"))
+    out = chat.format_pairs(chat.batch_negatives(spark.read.parquet(str(tmp_path / "c")))).collect()
+    pairs = [r for r in out if r.chosen]
+    assert sorted(r.pair_id for r in pairs) == ["c0", "c1", "c2", "c3", "long"]
+    assert sorted(r.rejected for r in pairs) == sorted(r.chosen for r in pairs)
+    assert all([r.chosen[x["from"] : x["to"]] for x in r.chosen_train] for r in pairs)
+    rest = {r.pair_id: r.rest for r in out if r.rest}
+    assert rest["u"] == "<|user|>\nonly<|end|>\n" and rest[None] == "<|unknown|>\n<|end|>\n" and rest["c1"] == "<|user|>\n0 2<|end|>\n" and "long" not in rest
+    assert [r.prompt for r in out if r.pair_id == "c0"] == ["<|user|>\n0 0<|end|>\n" * 2]
+    long = sorted((r.segment, r) for r in out if r.pair_id == "long")
+    assert [k for k, _ in long] == list(range(6))
+    assert "".join(r.prompt + r.chosen for _, r in long) == "".join(f"<|{'user' if t % 2 == 0 else 'assistant'}|>\nturn {t}<|end|>\n" for t in range(1500))
+    assert chat.format_pairs(chat.batch_negatives(spark.read.parquet(str(tmp_path / "c")).limit(0))).count() == 0
 
 
 # -- near duplicates -----------------------------------------------------------------------------
@@ -278,6 +321,59 @@ def test_near_duplicates_of_single_members_of_a_large_class(spark, tmp_path):
     assert {r.class_id for r in neardup.classes(spark.read.parquet(path)).collect()} == {0}
 
 
+def test_near_duplicates_with_null_ids(spark, tmp_path):
+    rng = random.Random(12)
+    base = words(rng, 300)
+    rows = [(None, base), (7, base + " more"), (7, base + " more"), (3, base.upper()), (None, None), (9, ""), (None, words(rng, 100))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "n"))
+    got = neardup.classes(spark.read.parquet(str(tmp_path / "n"))).collect()
+    assert sorted(((r.doc_id or 0), r.class_id or 0, r.class_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 7, 3, False), (0, 9, 2, False), (3, 3, 1, True), (7, 7, 3, False), (7, 7, 3, True), (9, 9, 2, True)]
+
+
+def test_rows_are_found_again_however_files_are_cut(spark, tmp_path):
+    from quadrat.llm.common import Scratch, pick_rows, place, rooted
+
+    spark.range(20_000).selectExpr("id as doc_id", "id % 7 as _at").repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    scratch = Scratch(spark, "t")
+    table = rooted(scratch, spark.read.parquet(str(tmp_path / "d")))
+    assert table.columns == ["doc_id", "_at"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        wanted = scratch.table(table.filter("doc_id % 2 = 0").select(place(table).alias("_at")), "wanted")
+        assert table.rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+    try:
+        for how, odd in (("left_semi", 0), ("left_anti", 1)):
+            got = pick_rows(spark.read.parquet(str(tmp_path / "d")), wanted, how)
+            assert got.columns == ["doc_id", "_at"] and sorted(r.doc_id for r in got.collect()) == list(range(odd, 20_000, 2))
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    stored = rooted(scratch, table.union(table))
+    assert stored.select(place(stored).alias("p")).distinct().count() == 40_000
+
+
+def test_components_of_long_paths_take_few_rounds(spark):
+    from quadrat.llm import graph
+    from quadrat.llm.common import Scratch
+
+    rng = random.Random(1)
+    names = rng.sample(range(10_000), 1000)
+    edges = [(i, i + 1) for i in range(20_000, 20_999)] + [tuple(sorted(x)) for x in zip(names, names[1:])] + [(50_000, 50_000 + i) for i in range(1, 400)]
+
+    class Counted(Scratch):
+        tables = 0
+
+        def table(self, df, name):
+            Counted.tables += "edges" in name
+            return super().table(df, name)
+
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), Counted(spark, "t")).collect()}
+    assert got == {i: 20_000 for i in range(20_000, 21_000)} | {n: min(names) for n in names} | {50_000 + i: 50_000 for i in range(400)}
+    assert Counted.tables <= 12  # with the first edges, one for each round
+
+
 def test_samples_agree_as_often_as_weights_do():
     rng = np.random.default_rng(4)
     h = np.sort(rng.integers(1 << 63, size=300, dtype=np.uint64))
@@ -316,6 +412,22 @@ def test_media(spark, docs, cases, empty, most_dead):
     assert media.round_trip(empty).count() == 0
 
 
+def test_media_of_several_slabs_and_features(spark, tmp_path):
+    rng = random.Random(13)
+    texts = [words(rng, 500_000), "é" * 33, None, "a" * 64]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "m"))
+    got = {r.doc_id: r for r in media.round_trip(spark.read.parquet(str(tmp_path / "m"))).collect()}
+    assert len(texts[0]) > 2 * media.SLAB
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        x = np.frombuffer(raw, np.uint8).astype(float)
+        signs = x >= 128
+        hist = np.histogram(x, 16, (0, 256))[0]
+        assert got[i].payload_sha256 == hashlib.sha256(raw).hexdigest() and got[i].payload_bytes == len(raw)
+        assert got[i].feature == f"mean={x.mean() - 128:.4f};rms={((x - 128) ** 2).mean() ** 0.5:.4f};zcr={(signs[1:] != signs[:-1]).sum() / len(x):.6f};hist={''.join(f'{int(b * 255 // hist.max()):02x}' for b in hist)}"
+
+
 def test_chunks_follow_content():
     rng = random.Random(1)
     a = bytes(rng.randrange(256) for _ in range(3 * media.SLAB // 2))
@@ -419,6 +531,12 @@ def test_warc_chunks(spark, tmp_path):
     spark.createDataFrame([(1, "u", text), (2, "v", "é")], "page_id long, url string, html string").write.parquet(path)
     scratch = Scratch(spark, "warc")
     folder = f"{scratch.root}/data"
+    out = [r for r in warc.records(spark.read.parquet(path), scratch).collect() if r.page_id == 1]
+    sha = hashlib.sha1()
+    for no, r in enumerate(out):
+        sha.update(r.chunk)
+        assert r.chunk_no == no and len(r.chunk) <= warc.CHUNK_BYTES and r.sha1_so_far == sha.hexdigest() and r.last == (no == len(out) - 1)
+    assert len(out) >= 2 and b"".join(r.chunk for r in out).decode() == text and out[0].sha1 == sha.hexdigest() and out[0].size == out[-1].bytes_so_far
     archives = warc.write_archives(spark.read.parquet(path), folder, scratch, file_bytes=1000)
     assert archives.count() >= 2
     rows = warc.read_archives(archives, folder, chunk_bytes=10_000).orderBy("page_id", "chunk_no").collect()
