@@ -176,27 +176,24 @@ def test_toxicity(spark, docs, empty, tmp_path):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, r in got.items() if not r.predicted) and clean.columns == ["doc_id", "text", "toxic", "_text"]
 
 
-def test_toxicity_trains_on_long_texts_and_one_of_repeated_ids(spark, tmp_path):
+def test_toxicity_trains_on_long_texts_and_one_of_repeated_ids(spark, tmp_path, monkeypatch):
     rng = random.Random(4)
-    rows = []
-    for i in range(160):
-        w = [f"a{rng.randrange(3000)}" for _ in range(5000 if i % 2 else 40)]
-        if i % 4 == 1:  # all toxic texts are long
-            w[rng.randrange(len(w))] = "vile"
-        rows.append((i, " ".join(w), int(i % 4 == 1)))
+    rows = [(i, " ".join(f"a{rng.randrange(3000)}" for _ in range(5000 if i % 10 == 1 else 30)), int(i % 10 == 1)) for i in range(60)]
     repeats = [(i, f"{t} {k}", x) for i, t, x in rows[:8] for k in range(40)]
     spark.createDataFrame(rows + repeats, "doc_id long, text string, toxic int").write.parquet(str(tmp_path / "d"))
     table = spark.read.parquet(str(tmp_path / "d"))
-    labels = table.select("doc_id", "toxic")
-    seen = [(r.predicted, r.doc_id % 4 == 1) for r in toxicity.scores(table.select("doc_id", "text"), labels).collect() if not r.held_out]
-    assert np.mean([p == t for p, t in seen]) > 0.9
-    first = toxicity.fit(table, labels)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
-    try:
-        again = toxicity.fit(table.repartition(7), labels)
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    labels, seen, train = table.select("doc_id", "toxic"), [], toxicity.train
+
+    def short(texts, toxic):
+        seen.append([len(t) - 4 for t in texts])
+        return train(texts, toxic, 3)
+
+    monkeypatch.setattr(toxicity, "train", short)
+    first, again = toxicity.fit(table, labels), toxicity.fit(table.repartition(7), labels)
+    taught = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 > 1]
+    assert seen[0] == seen[1] == [5000 if i % 10 == 1 else 30 for i in taught] and max(seen[0]) == 5000
     assert (first.embedding == again.embedding).all() and first.thresholds == again.thresholds
+    assert toxicity.fit(table.limit(0), labels).thresholds == toxicity.fit(table, labels.limit(0)).thresholds
 
 
 # -- chat ----------------------------------------------------------------------------------------
