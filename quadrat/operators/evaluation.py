@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geometry import box, size_bin, size_key
 from ..functions.names import draw
-from .matching import best_overlap, match
+from .matching import assigned, candidates
 from .ranking import dense_index
 
 BINS = [("small", 0.0, 64.0), ("medium", 64.0, 128.0), ("large", 128.0, float("inf"))]
@@ -28,53 +28,63 @@ def labelled_bins(key: Column) -> Column:
     return F.array_compact(F.array(F.lit("all"), size_bin(key, BINS)))
 
 
-def evaluated(det: DataFrame, gt: DataFrame, unit: list[str], thresholds: list[float], mode: str = "iou", verified: float = 0.0, floor: float = 0.25) -> DataFrame:
-    """One row per detection, threshold and bin: unit, cls, bin, thr, conf, did, tp, ignored.
+def scored(det: DataFrame, gt: DataFrame, unit: list[str], thresholds: list[float], mode: str = "iou", verified: float = 0.0, floor: float = 0.25) -> DataFrame:
+    """One row per detection: unit, cls, did, conf, d_size, hit0 ... for each threshold, credit.
 
-    A hit on a box of another bin, and a miss by a detection of another bin, is ignored. With
-    verified, a detection of at least floor that meets no true box of any class counts as that share of a hit.
+    With verified, a detection of at least floor that no true box of any class overlaps by BACKGROUND has credit.
     """
-    keys = [*unit, "cls"]
-    sizes = gt.select(*keys, "gid", size_key(box()).alias("g_size"))
-    hits = match(det, gt, keys, thresholds, mode).join(sizes, [*keys, "gid"]).select(*keys, "did", "thr", "g_size")
-    base = best_overlap(det, gt, unit) if verified else det
-    extra = [F.col("best")] if verified else []
-    rows = base.select(*keys, "did", "conf", size_key(box()).alias("d_size"), *extra, F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr"))
-    rows = rows.join(hits, [*keys, "did", "thr"], "left")
-    rows = rows.withColumn("bin", F.explode(F.array(F.lit("all"), *[F.lit(b) for b, _, _ in BINS])))
-
-    def within(key: str) -> Column:
-        return (F.col("bin") == "all") | F.coalesce(size_bin(F.col(key), BINS) == F.col("bin"), F.lit(False))
-
-    hit = F.col("g_size").isNotNull()
-    tp = F.when(hit & within("g_size"), 1.0).otherwise(0.0)
-    ignored = (hit & ~within("g_size")) | (~hit & ~within("d_size"))
+    found = candidates(det, gt, unit, min(thresholds), mode, across=bool(verified))
+    credit = F.lit(False)
     if verified:
-        credit = (F.col("best") < BACKGROUND) & within("d_size") & (F.col("conf") >= floor)
-        tp = F.when(credit, F.lit(verified)).otherwise(tp)
-        rows = rows.withColumn("credit", credit)
-    return rows.select(*keys, "bin", "thr", "conf", "did", tp.alias("tp"), ignored.alias("ignored"), *(["credit"] if verified else []))
+        credit = (F.greatest("best_same", "best_other") < BACKGROUND) & (F.col("conf") >= floor)
+        found = found.drop("other_cls")
+    return assigned(found.withColumn("credit", credit).drop("best_same", "best_other"), [*unit, "cls"], thresholds)
+
+
+def live_rows(rows: DataFrame, unit: list[str], thresholds: list[float], verified: float = 0.0) -> DataFrame:
+    """Rows of scored as the curves need them: unit, cls, bin, thr, conf, did, tp.
+
+    At each threshold a detection counts in 'all' and in one size bin: that of the box it hits, else its own. A hit on a
+    box of another bin, and a miss by a detection of another bin, is ignored there, so these have no rows. A
+    detection with credit counts as the share verified of a hit in the bin of its own size and in 'all'.
+    """
+    own = size_bin(F.col("d_size"), BINS)
+    each = []
+    for k, thr in enumerate(thresholds):
+        hit = F.col(f"hit{k}")
+        plain = F.when(hit.isNotNull(), 1.0).otherwise(0.0)
+        there = size_bin(F.coalesce(hit["s"], F.col("d_size")), BINS)
+        share = F.when(F.col("credit"), F.lit(float(verified))).otherwise(plain) if verified else plain
+        in_bin = F.when(F.col("credit") & (there == own), F.lit(float(verified))).otherwise(plain) if verified else plain
+        for name, tp in ((F.lit("all"), share), (there, in_bin)):
+            each.append(F.when(name.isNotNull(), F.struct(F.lit(float(thr)).alias("thr"), name.alias("bin"), tp.alias("tp"))))
+    return rows.select(*unit, "cls", "did", "conf", F.explode(F.array_compact(F.array(*each))).alias("x")).select(*unit, "cls", "x.bin", "x.thr", "conf", "did", "x.tp")
+
+
+def evaluated(det: DataFrame, gt: DataFrame, unit: list[str], thresholds: list[float], mode: str = "iou", verified: float = 0.0, floor: float = 0.25) -> DataFrame:
+    """What average_precision reads, from detections and true boxes."""
+    return live_rows(scored(det, gt, unit, thresholds, mode, verified, floor), unit, thresholds, verified)
 
 
 def truth_counts(gt: DataFrame, unit: list[str], rows: DataFrame | None = None, verified: float = 0.0, recall: float = 1.0) -> DataFrame:
-    """unit, cls, bin, n_gt: true boxes, and those that credited detections (of rows at one threshold) stand for."""
+    """unit, cls, bin, n_gt: true boxes, and those that detections with credit (in rows of scored) stand for."""
     n = gt.withColumn("bin", F.explode(labelled_bins(size_key(box())))).groupBy(*unit, "cls", "bin").agg(F.count(F.lit(1)).cast("double").alias("n_gt"))
     if not verified:
         return n
-    more = rows.filter("credit").groupBy(*unit, "cls", "bin").agg((F.count(F.lit(1)) * F.lit(verified) / F.lit(max(recall, 1e-6))).alias("n_gt"))
+    more = rows.filter("credit").withColumn("bin", F.explode(labelled_bins(F.col("d_size")))).groupBy(*unit, "cls", "bin").agg((F.count(F.lit(1)) * F.lit(verified) / F.lit(max(recall, 1e-6))).alias("n_gt"))
     return n.unionByName(more).groupBy(*unit, "cls", "bin").agg(F.sum("n_gt").alias("n_gt"))
 
 
 def average_precision(rows: DataFrame, totals: DataFrame, cell: list[str], order: list[str], weight: str | None = None) -> DataFrame:
     """cell, n_gt, ap: mean of the interpolated precision at 101 recalls; null without truth, 0 without hits.
 
-    rows has cell, conf, tp, ignored and order (ties of conf); totals has cell and n_gt. Running sums go
+    rows has cell, conf, tp, order (ties of conf) and may have ignored (rows that don't count); totals has cell and n_gt. Running sums go
     slice by slice of conf: sums by slice first, then within each slice, so that a cell of any size
     is spread over many tasks. Of the running curve, each hundredth of recall needs the largest precision, the
     first and the last row, which are plain aggregates.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    live = rows.filter(~F.col("ignored")).select(*cell, "conf", *order, (F.col("tp") * w).alias("t"), w.alias("w"), F.least(F.floor(F.col("conf") * SLICES), F.lit(SLICES - 1)).alias("slice"))
+    live = (rows.filter(~F.col("ignored")) if "ignored" in rows.columns else rows).select(*cell, "conf", *order, (F.col("tp") * w).alias("t"), w.alias("w"), F.least(F.floor(F.col("conf") * SLICES), F.lit(SLICES - 1)).alias("slice"))
     sums = live.groupBy(*cell, "slice").agg(F.sum("t").alias("st"), F.sum("w").alias("sw"), F.count(F.lit(1)).alias("sn"))
     before = Window.partitionBy(*cell).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*cell, "slice", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("st", "sw", "sn")))
@@ -130,15 +140,10 @@ def taxonomy(det: DataFrame, gt: DataFrame, unit: list[str], loose: float = LOOS
     (a box of its class by 0.1, taken or not), else background.
     """
     keys = [*unit, "cls"]
-    hits = match(det, gt, keys, sorted({loose, STRICT})).groupBy(*keys, "did").agg(
-        F.bool_or(F.col("thr") == STRICT).alias("hit"), F.bool_or(F.col("thr") == loose).alias("hit_loose")
-    )
-    own = best_overlap(det, gt, unit, True).select(*keys, "did", F.col("best").alias("best_same"))
-    other = best_overlap(det, gt, unit, False).select(*keys, "did", F.col("best").alias("best_other"), F.col("best_cls").alias("other_cls"))
-    rows = det.select(*keys, "did").join(hits, [*keys, "did"], "left").join(own, [*keys, "did"], "left").join(other, [*keys, "did"], "left")
-    hit = F.coalesce("hit", F.lit(False))
+    rows = assigned(candidates(det, gt, unit, min(loose, STRICT), across=True), keys, [STRICT, loose])
+    hit = F.col("hit0").isNotNull()
     error = F.when(hit, None).when(F.col("best_other") >= STRICT, "cls").when(F.col("best_same") >= LOOSE, "loc").otherwise("bkg")
-    return rows.select(*keys, "did", hit.alias("hit"), F.coalesce("hit_loose", F.lit(False)).alias("hit_loose"), error.alias("error"), F.when(error == "cls", F.col("other_cls")).alias("confused_with"))
+    return rows.select(*keys, "did", hit.alias("hit"), F.col("hit1").isNotNull().alias("hit_loose"), error.alias("error"), F.when(error == "cls", F.col("other_cls")).alias("confused_with"))
 
 
 def class_report(errors: DataFrame, gt: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, match_score
+from ..functions.geometry import box, match_score, size_key
 
 
 def scored_pairs(det: DataFrame, gt: DataFrame, keys: list[str], mode: str = "iou") -> DataFrame:
@@ -42,9 +42,59 @@ def greedy(pairs: DataFrame, keys: list[str], thresholds: list[float], order: st
     return rows.select(*keys, "thr", F.col("x.d").alias(order), F.col("x.g").alias(taken), F.col("x.o").alias("overlap"))
 
 
+def candidates(det: DataFrame, gt: DataFrame, unit: list[str], least: float, mode: str = "iou", across: bool = False) -> DataFrame:
+    """One row per detection: unit, cls, did, conf (if there), d_size and partners, the boxes of its class that it overlaps by at least.
+
+    A partner is g (gid), n (the overlap, negative, so that lists sort by falling overlap) and s (its size).
+    One join on the cell, whose partitioning all that follows keeps. across joins on the image instead and adds the
+    largest IoU with a box of the same class (best_same), of another one (best_other) and the latter's class (other_cls); 0, 0, null without.
+    """
+    keys = [*unit, "cls"]
+    right = gt.select(*unit, F.col("cls").alias("g_cls"), "gid", *(F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")))
+    pairs = det.join(right, unit, "left") if across else det.join(right.withColumnRenamed("g_cls", "cls"), keys, "left")
+    same = (F.col("cls") == F.col("g_cls")) if across else F.lit(True)
+    score, plain = match_score(box(), box("g_"), mode), match_score(box(), box("g_"))
+    carried = ["conf"] if "conf" in det.columns else []
+    pairs = pairs.select(*keys, "did", *carried, size_key(box()).alias("d_size"), "gid", size_key(box("g_")).alias("s"), score.alias("o"), *([same.alias("same"), "g_cls", plain.alias("p")] if across else []))
+    same = F.col("same") if across else F.lit(True)
+    partner = F.when(same & (F.col("o") >= least), F.struct((-F.col("o")).alias("n"), F.col("gid").cast("int").alias("g"), "s"))
+    bests = []
+    if across:
+        bests = [F.coalesce(F.max(F.when(same, F.col("p"))), F.lit(0.0)).alias("best_same"), F.max(F.when(~same, F.struct(F.col("p").alias("o"), (-F.col("g_cls")).alias("c")))).alias("_other")]
+    rows = pairs.groupBy(*keys, "did").agg(*(F.first(c).alias(c) for c in [*carried, "d_size"]), F.sort_array(F.collect_list(partner)).alias("partners"), *bests)
+    if across:
+        rows = rows.withColumns({"best_other": F.coalesce("_other.o", F.lit(0.0)), "other_cls": F.when(F.col("_other.o") > 0, -F.col("_other.c"))}).drop("_other")
+    return rows
+
+
+def assigned(found: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
+    """Rows of candidates, each with hit0, hit1, ...: the partner that it gets at each threshold, or null.
+
+    In the order of did, a detection takes its free partner of largest overlap that reaches the threshold, of equal
+    ones the first. A cell (one class in one image) is a short list, walked once for each threshold.
+    """
+    rest = [c for c in found.columns if c not in (*keys, "did")]
+    cells = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("did", *rest))).alias("x"))
+    none = F.expr("cast(array() as array<struct<n:double,g:int,s:double>>)")
+
+    def walk(thr: float) -> Column:
+        def step(taken: Column, x: Column) -> Column:
+            free = F.filter(x["partners"], lambda p: (-p["n"] >= thr) & ~F.coalesce(F.exists(taken, lambda m: m["g"] == p["g"]), F.lit(False)))
+            return F.concat(taken, F.array(F.get(free, F.lit(0))))
+
+        return F.aggregate("x", none, step)
+
+    names = [f"hit{k}" for k in range(len(thresholds))]
+    cells = cells.select(*keys, "x", *(walk(float(t)).alias(n) for t, n in zip(thresholds, names)))
+    rows = cells.select(*keys, F.inline(F.arrays_zip("x", *names)))
+    return rows.select(*keys, "x.*", *names)
+
+
 def match(det: DataFrame, gt: DataFrame, keys: list[str], thresholds: list[float], mode: str = "iou") -> DataFrame:
-    """Greedy matches in the order of did, the detections' rank by confidence."""
-    return greedy(scored_pairs(det, gt, keys, mode), keys, thresholds)
+    """Greedy matches at each threshold in the order of did, the detections' rank by confidence: keys (ending with cls), thr, did, gid, overlap."""
+    rows = assigned(candidates(det, gt, keys[:-1], min(thresholds), mode).filter(F.size("partners") > 0), keys, thresholds)
+    hits = F.array_compact(F.array(*[F.when(F.col(f"hit{k}").isNotNull(), F.struct(F.lit(float(t)).alias("thr"), F.col(f"hit{k}.g").alias("gid"), (-F.col(f"hit{k}.n")).alias("overlap"))) for k, t in enumerate(thresholds)]))
+    return rows.select(*keys, "did", F.explode(hits).alias("m")).select(*keys, "m.thr", "did", "m.gid", "m.overlap")
 
 
 def match_truth_first(det: DataFrame, gt: DataFrame, keys: list[str], threshold: float) -> DataFrame:

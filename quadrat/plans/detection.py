@@ -269,9 +269,9 @@ _CREDIT = (
 def ap_scope_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision where confident detections on background count as true with a share of 0.4."""
     det, gt = ev.top_k(_det(spark, sf_dir)), gt_box(spark, sf_dir)
-    rows = ev.evaluated(det, gt, UNIT, [0.5], verified=0.4)
+    rows = ev.scored(det, gt, UNIT, [0.5], verified=0.4)
     totals = ev.truth_counts(gt, UNIT, rows, 0.4, 0.8).groupBy("cls", "bin").agg(F.sum("n_gt").alias("n_gt")).withColumn("thr", F.lit(0.5))
-    return ev.average_precision(rows, totals, ["cls", "bin", "thr"], [*UNIT, "did"]).select("cls", "bin", F.round("n_gt", 6).alias("n_gt"), F.round("ap", 6).alias("ap"))
+    return ev.average_precision(ev.live_rows(rows, UNIT, [0.5], 0.4), totals, ["cls", "bin", "thr"], [*UNIT, "did"]).select("cls", "bin", F.round("n_gt", 6).alias("n_gt"), F.round("ap", 6).alias("ap"))
 
 
 @query(_with(_CROWD, "calm as (select seed, tile_id from crowds where crowding <= 0.5)", "detc as (select * from det join calm using (seed, tile_id))", "gtc as (select * from gt join calm using (seed, tile_id))", _pairs("detc", "gtc"), _matches(), _evaluated("[0.5]", "detc", "gtc"), _NGT.replace("from gt)", "from gtc)"), "cells as (select *, 0.5::double as thr from n_cells)", _ap("evaluated", "cells", "cls, bin, thr")) + "select cls, bin, n_gt, round(ap, 6) as ap from ap")
