@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import box, size_bin, size_key
 from ..functions.names import draw
-from .matching import assigned, candidates
-from .ranking import dense_index
+from ..storage import Scratch
+from .matching import assigned, best_overlap, candidates
+from .ranking import dense_index, first_rows
 
 BINS = [("small", 0.0, 64.0), ("medium", 64.0, 128.0), ("large", 128.0, float("inf"))]
 #: Slices of the confidence scale over which running sums are shared out.
@@ -157,3 +160,73 @@ def class_report(errors: DataFrame, gt: DataFrame) -> DataFrame:
         "cls", "n_gt", "n_pred", "tp", (F.col("n_gt") - F.col("tp")).alias("fn"), F.try_divide(F.col("tp"), F.col("n_gt")).alias("recall"), F.try_divide(F.col("tp_loose"), F.col("n_gt")).alias("recall_loose"),
         F.try_divide(F.col("tp"), F.col("n_pred")).alias("precision"), "fp_cls", "fp_loc", "fp_bkg",
     )
+
+
+def confident(det: DataFrame, floor: float, low: float = 0.0, high: float = float("inf"), scale: Column | None = None) -> DataFrame:
+    """Detections of at least floor whose size, at the scale that images are shown, is in [low, high)."""
+    key = size_key(box()) * (scale if scale is not None else F.lit(1.0))
+    return det.filter((F.col("conf") >= floor) & (key >= low) & (key < high))
+
+
+def adjusted(det: DataFrame, gt: DataFrame, unit: list[str], variants: dict[str, tuple[str, float, float]], settings: DataFrame | None = None, floor: float = 0.25) -> DataFrame:
+    """variant, cls, n_gt, ap at IoU 0.5 over all sizes, for variants (mode, verified, recall) at once.
+
+    Detections are matched once for each mode; what a variant makes of them is a column. With settings (unit, setting),
+    each setting's images are evaluated by themselves, and setting is a key of the result.
+    """
+    scratch = Scratch(det.sparkSession, "adjusted")
+    more = ["setting"] if settings is not None else []
+    rows, totals = [], []
+    n = gt.groupBy(*unit, "cls").agg(F.count(F.lit(1)).cast("double").alias("n_gt"))
+    for mode in dict.fromkeys(m for m, _, _ in variants.values()):
+        mine = {k: v for k, v in variants.items() if v[0] == mode}
+        found = scratch.table(scored(det, gt, unit, [STRICT], mode, 1.0 if any(p for _, p, _ in mine.values()) else 0.0, floor), f"scored-{mode}")
+        hit = F.when(F.col("hit0").isNotNull(), 1.0).otherwise(0.0)
+        each = F.array(*[F.struct(F.lit(k).alias("variant"), (F.when(F.col("credit"), p).otherwise(hit) if p else hit).alias("tp"), (F.when(F.col("credit"), p / max(r, 1e-6)).otherwise(0.0) if p else F.lit(0.0)).alias("gt")) for k, (_, p, r) in mine.items()])
+        rows.append(found.select(*unit, "cls", "did", "conf", F.explode(each).alias("x")).select(*unit, "cls", "did", "conf", "x.*"))
+        totals.append(n.withColumn("variant", F.explode(F.array(*map(F.lit, mine)))))
+    live = reduce(DataFrame.unionByName, rows)
+    truth = reduce(DataFrame.unionByName, totals).unionByName(live.filter("gt > 0").select(*unit, "cls", F.col("gt").alias("n_gt"), "variant"))
+    if settings is not None:
+        live, truth = live.join(settings, unit), truth.join(settings, unit)
+    cell = [*more, "variant", "cls"]
+    return average_precision(live, truth.groupBy(*cell).agg(F.sum("n_gt").alias("n_gt")), cell, [*unit, "did"])
+
+
+def unmatched(det: DataFrame, gt: DataFrame, unit: list[str], cls: int, floor: float, least: float = STRICT) -> DataFrame:
+    """Detections of a class, of at least floor, that no true box of it overlaps by least."""
+    mine = det.filter((F.col("cls") == cls) & (F.col("conf") >= floor))
+    return best_overlap(mine, gt.filter(F.col("cls") == cls), unit, True).filter(F.col("best") < least)
+
+
+def shown_first(found: DataFrame, n: int, ties: list[str], seed: int | None = None) -> DataFrame:
+    """n rows: the most confident, or with a seed rows drawn by digests of ties, which tell without bias how many are of a kind."""
+    if seed is None:
+        return found.orderBy(F.desc("conf"), *ties).limit(n)
+    return first_rows(found, draw(F.lit(str(seed)), *(F.col(c).cast("string") for c in ties)), ties, n)
+
+
+def unlike_in_photo(found: DataFrame, photo: list[str], order: list[str], most: int, n: int) -> DataFrame:
+    """The first n rows of found (photo, order, hash) in order that lie over most bits from all rows kept before of the same photo.
+
+    A photo's crops are a short list, folded over in one row.
+    """
+    lists = found.groupBy(*photo).agg(F.sort_array(F.collect_list(F.struct(*order, "hash"))).alias("list"))
+    none = F.expr("cast(array() as array<bigint>)")
+    seen = F.aggregate("list", F.struct(none.alias("hashes"), F.expr("cast(array() as array<boolean>)").alias("kept")), lambda st, x: F.struct(
+        F.when(F.exists(st["hashes"], lambda h: F.bit_count(h.bitwiseXOR(x["hash"])) <= most), st["hashes"]).otherwise(F.concat(st["hashes"], F.array(x["hash"]))).alias("hashes"),
+        F.concat(st["kept"], F.array(~F.exists(st["hashes"], lambda h: F.bit_count(h.bitwiseXOR(x["hash"])) <= most))).alias("kept"),
+    ), lambda st: st["kept"])
+    rows = lists.withColumn("kept", seen).select(*photo, F.inline(F.arrays_zip("list", "kept"))).filter("kept")
+    return rows.select(*photo, "list.*").orderBy(*order, *photo).limit(n)
+
+
+def richest(boxes: DataFrame, unit: list[str], n: int, usual: int = 8) -> DataFrame:
+    """unit, classes, boxes of the n images with the most classes, of equal ones those with closest to the usual number of boxes."""
+    rows = boxes.groupBy(*unit).agg(F.count_distinct("cls").alias("classes"), F.count(F.lit(1)).alias("boxes"))
+    return rows.orderBy(F.desc("classes"), F.abs(F.col("boxes") - usual), *unit).limit(n)
+
+
+def overlap_report(matches: DataFrame) -> DataFrame:
+    """cls (null: all), n, mean overlap of matches."""
+    return matches.rollup("cls").agg(F.count(F.lit(1)).alias("n"), F.avg("overlap").alias("mean"))

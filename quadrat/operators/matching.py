@@ -53,7 +53,7 @@ def candidates(det: DataFrame, gt: DataFrame, unit: list[str], least: float, mod
     right = gt.select(*unit, F.col("cls").alias("g_cls"), "gid", *(F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")))
     pairs = det.join(right, unit, "left") if across else det.join(right.withColumnRenamed("g_cls", "cls"), keys, "left")
     same = (F.col("cls") == F.col("g_cls")) if across else F.lit(True)
-    score, plain = match_score(box(), box("g_"), mode), match_score(box(), box("g_"))
+    score, plain = (F.when(F.col("gid").isNotNull(), match_score(box(), box("g_"), m)) for m in (mode, "iou"))
     carried = ["conf"] if "conf" in det.columns else []
     pairs = pairs.select(*keys, "did", *carried, size_key(box()).alias("d_size"), "gid", size_key(box("g_")).alias("s"), score.alias("o"), *([same.alias("same"), "g_cls", plain.alias("p")] if across else []))
     same = F.col("same") if across else F.lit(True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import draw
 from ..functions.polygons import clip, in_region, shoelace
 
 FULL = 0.995
@@ -46,3 +47,28 @@ def keep_inside(boxes: DataFrame, regions: DataFrame, unit: list[str]) -> DataFr
     rows = boxes.join(regions.select(*unit, "mode", "polys"), unit, "left")
     inside = in_region(F.col("mode"), F.col("polys"), (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)
     return rows.filter(inside).drop("mode", "polys")
+
+
+def free_windows(windows: DataFrame, boxes: DataFrame, unit: list[str], margin: float = 0.0) -> DataFrame:
+    """Windows (unit, x, y, size) that no box of their image comes closer to than margin; one equi-join on the image."""
+    b = boxes.select(*(F.col(c).alias(f"_{c}") for c in unit), *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
+    met = (F.col("b_x2") + margin > F.col("x")) & (F.col("b_x1") - margin < F.col("x") + F.col("size")) & (F.col("b_y2") + margin > F.col("y")) & (F.col("b_y1") - margin < F.col("y") + F.col("size"))
+    for c in unit:
+        met &= F.col(c) == F.col(f"_{c}")
+    return windows.join(b, met, "left_anti")
+
+
+def drawn_windows(images: DataFrame, unit: list[str], sizes: list[int], attempts: int, seed: int = 0) -> DataFrame:
+    """images (unit, width, height) with n, size, x, y: so many windows of each size in each image, drawn by digests; none where it is larger."""
+    grid = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(n).alias("n")) for s in sizes for n in range(attempts)])
+    rows = images.select("*", F.explode(grid).alias("g")).select("*", "g.*").drop("g").filter("width >= size and height >= size")
+
+    def at(axis: str, room: str):
+        return draw(F.lit(f"{seed}{axis}"), *(F.col(c).cast("string") for c in unit), F.col("size").cast("string"), F.col("n").cast("string")) % (F.col(room) - F.col("size") + 1).cast("bigint")
+
+    return rows.withColumns({"x": at("x", "width"), "y": at("y", "height")})
+
+
+def modes(regions: DataFrame, images: DataFrame, unit: list[str]) -> DataFrame:
+    """mode and n of images; 'undecided' for those without a region, which count as wholly valid."""
+    return images.select(*unit).join(regions.select(*unit, "mode"), unit, "left").groupBy(F.coalesce("mode", F.lit("undecided")).alias("mode")).agg(F.count(F.lit(1)).alias("n"))

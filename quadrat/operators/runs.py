@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.names import parse_run, recipe
+from ..functions.names import parse_run, ratio_of, recipe, series
 
 
 def parsed(metrics: DataFrame) -> DataFrame:
@@ -103,3 +103,77 @@ def change_flags(rows: DataFrame, keys: list[str], along: str) -> DataFrame:
 def contrast(a: Column, b: Column, budget_a: Column, budget_b: Column) -> Column:
     """Verdict on comparing two sets of recipes: 'matched', 'budget' (same recipe, other epochs), or 'mismatch'."""
     return F.when(a != b, "mismatch").when(budget_a != budget_b, "budget").otherwise("matched")
+
+
+def with_metrics(runs: DataFrame, metrics: DataFrame, splits: list[str], metric: str = "map50", key: str = "run") -> DataFrame:
+    """runs with <split>_<metric> for each split, null for runs or splits without a row in metrics (key, split, metric)."""
+    wide = metrics.groupBy(key).pivot("split", splits).agg(F.first(metric))
+    return runs.join(wide.select(key, *(F.col(s).alias(f"{s}_{metric}") for s in splits)), key, "left")
+
+
+def class_readout(rows: DataFrame, baseline: str, family: str = "family", value: str = "metric") -> DataFrame:
+    """family, cls (null: mean over classes with a value), mean over seeds, delta to the baseline family, n.
+
+    rows has family, cls and value, null where a run has none; such runs are left out of a class's mean.
+    """
+    by = rows.groupBy(family, "cls").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    every = by.unionByName(by.groupBy(family).agg(F.avg("mean").alias("mean"), F.count("mean").alias("n")).withColumn("cls", F.lit(None).cast("int")))
+    base = every.filter(F.col(family) == baseline).select(F.col("cls").alias("_c"), F.col("mean").alias("_b"))
+    return every.join(base, F.col("cls").eqNullSafe(F.col("_c")), "left").select(family, "cls", "mean", (F.col("mean") - F.col("_b")).alias("delta"), "n")
+
+
+def subset_means(ap: DataFrame, subsets: dict[str, list[int]], value: str = "ap", by: str = "bin") -> DataFrame:
+    """bin, subset, mean over the present classes of the subset, classes, n_gt."""
+    names = F.array_compact(F.array(*[F.when(F.col("cls").isin(*ids), F.lit(name)) for name, ids in subsets.items()]))
+    rows = ap.filter(F.col(value).isNotNull()).withColumn("subset", F.explode(names))
+    return rows.groupBy(by, "subset").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("classes"), F.sum("n_gt").alias("n_gt"))
+
+
+def interventions(means: DataFrame, contrasts: list[tuple[str, str, str]], keys: list[str]) -> DataFrame:
+    """label, generator, reference, keys, a (the reference's mean), b, delta of each intervention on equal keys; a and delta null where no reference matches.
+
+    means has generator, keys and metric; contrasts are (generator, reference, label).
+    """
+    table = F.array(*[F.struct(F.lit(g).alias("generator"), F.lit(r).alias("reference"), F.lit(t).alias("label")) for g, r, t in contrasts])
+    match = F.filter(table, lambda c: c["generator"] == F.col("generator"))
+    rows = means.withColumn("c", F.explode(match)).select("c.label", "generator", "c.reference", *keys, F.col("metric").alias("b"))
+    ref = means.select(F.col("generator").alias("_g"), *(F.col(k).alias(f"_{k}") for k in keys), F.col("metric").alias("a"))
+    on = F.col("reference") == F.col("_g")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(ref, on, "left").select("label", "generator", "reference", *keys, "a", "b", (F.col("b") - F.col("a")).alias("delta"))
+
+
+def near_targets(means: DataFrame, targets: list[tuple[str, float, str | None]], tolerance: float) -> DataFrame:
+    """label, a, b, delta: pairs of families of one ratio and filter, either way round, whose difference comes within tolerance of a target.
+
+    means has family and metric; targets are (label, target, a word that one of the names must have, or none). Pairs meet
+    in an equi-join on the ratio and filter at the end of the names; names without a ratio have no pair.
+    """
+    rows = means.withColumn("_r", ratio_of(F.col("family"))).filter("_r.pct is not null").select("family", "metric", F.col("_r.pct").alias("pct"), F.coalesce("_r.filter", F.lit(-1)).alias("flt"))
+    pairs = rows.select(F.col("family").alias("a"), F.col("metric").alias("_ma"), "pct", "flt").join(rows.select(F.col("family").alias("b"), F.col("metric").alias("_mb"), "pct", "flt"), ["pct", "flt"]).filter("a <> b")
+    pairs = pairs.select("a", "b", (F.col("_mb") - F.col("_ma")).alias("delta"))
+    wanted = F.array(*[F.struct(F.lit(t).alias("label"), F.lit(float(v)).alias("target"), F.lit(w).cast("string").alias("word")) for t, v, w in targets])
+    fits = F.filter(wanted, lambda w: (F.abs(F.col("delta") - w["target"]) <= tolerance) & (w["word"].isNull() | F.contains(F.col("a"), w["word"]) | F.contains(F.col("b"), w["word"])))
+    return pairs.withColumn("w", F.explode(fits)).select("w.label", "a", "b", "delta")
+
+
+def spans(reports: DataFrame, columns: list[str]) -> DataFrame:
+    """column, low, high, span, of_high and of_low (the span over each) of columns across arms: reports has a row for each arm."""
+    long = reports.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    rows = long.groupBy("column").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    span = F.col("high") - F.col("low")
+    return rows.select("column", "low", "high", span.alias("span"), F.try_divide(span, F.col("high")).alias("of_high"), F.try_divide(span, F.col("low")).alias("of_low"))
+
+
+def curves(metrics: DataFrame, value: str) -> DataFrame:
+    """series, detector, ratio, n, mean, std (of the population): what a curve over ratios shows. Names without a seed are left out."""
+    rows = metrics.withColumn("_s", series(F.col("run_name"))).filter("_s.seed is not null").select(value, "_s.*")
+    return rows.groupBy("series", "detector", "ratio").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def efficiency(models: DataFrame) -> DataFrame:
+    """models (detector, params, gflops, preprocess_ms, inference_ms, postprocess_ms, imgsz) as a report: millions of parameters, frames a second."""
+    ms = F.col("inference_ms")
+    rounded = [F.round(c, 2).alias(c) for c in ("preprocess_ms", "inference_ms", "postprocess_ms")]
+    return models.select("detector", F.round(F.nullif(F.col("params"), F.lit(0)) / 1e6, 2).alias("params_M"), F.round("gflops", 1).alias("gflops"), *rounded, F.round(F.try_divide(F.lit(1000.0), ms), 1).alias("fps"), "imgsz")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.names import draw, uniform
-from .ranking import dense_index, first_rows
+from ..storage import Scratch
+from .ranking import dense_index, first_rows, rank_within
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -47,16 +50,105 @@ def matched_size(real: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return first_rows(rows, order, [key, "copy"], n)
 
 
-def arms(frames: DataFrame, early: int, pool: DataFrame | None = None) -> DataFrame:
-    """arm and rows: A the first season, B both, T the first and the pool, M the first and as many of the second as the pool has."""
-    a = frames.filter(F.col("year") == early)
-    out = a.withColumn("arm", F.lit("A")).unionByName(frames.withColumn("arm", F.lit("B")))
-    if pool is not None:
-        late = sample(frames.filter(F.col("year") != early), pool.count(), "frame")
-        out = out.unionByName(a.withColumn("arm", F.lit("T"))).unionByName(pool.withColumn("arm", F.lit("T"))).unionByName(a.withColumn("arm", F.lit("M"))).unionByName(late.withColumn("arm", F.lit("M")))
+def seasons(frames: DataFrame, prefixes: dict[int, str], name: str = "image") -> DataFrame:
+    """frames with year, by the prefix of their name; a name that no prefix covers is an error."""
+    year = F.lit(None).cast("int")
+    for y, p in prefixes.items():
+        year = F.when(F.col(name).startswith(p), y).otherwise(year)
+    out = frames.withColumn("year", year)
+    if odd := out.filter("year is null").limit(1).collect():
+        raise ValueError(f"no season has names like {odd[0][name]}")
     return out
 
 
+def arms(frames: DataFrame, early: int, late: int, pool: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """arm and rows: A the first season, B both, T the first and as many of the pool as the second has, M the first repeated to B's size.
+
+    A frame of neither season is an error. M's repeats are rows of their own.
+    """
+    if odd := frames.filter(~F.coalesce(F.col("year").isin(early, late), F.lit(False))).limit(1).collect():
+        raise ValueError(f"frame {odd[0][key]} is of neither season")
+    a, n = frames.filter(F.col("year") == early), frames.filter(F.col("year") == late).count()
+    size = a.count() + n
+    parts = {"A": a, "B": frames, "T": a.unionByName(sample_with_extras(pool, n, key, seed)), "M": matched_size(a, size, key, seed).drop("copy")}
+    return reduce(DataFrame.unionByName, (rows.withColumn("arm", F.lit(arm)) for arm, rows in parts.items()))
+
+
+def assert_real(entries: DataFrame) -> None:
+    """An error if a synthetic image (is_synth) is in a split other than train."""
+    if bad := entries.filter("is_synth and split <> 'train'").limit(1).collect():
+        raise ValueError(f"a synthetic image in {bad[0]['split']}")
+
+
+def only_in(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys of a that b lacks."""
+    return a.select(*keys).distinct().join(b.select(*keys), keys, "left_anti")
+
+
+def ratio_plan(kinds: list[str], ratios: list[float], seeds: int, spark) -> DataFrame:
+    """index, kind, ratio, seed: all runs of a sweep; kind varies slowest, seed fastest."""
+    i, many = F.col("index"), len(ratios) * seeds
+    names, grid = F.array(*map(F.lit, kinds)), F.array(*[F.lit(float(r)) for r in ratios])
+    return spark.range(len(kinds) * many).withColumnRenamed("id", "index").select(
+        "index", F.get(names, F.floor(i / many).cast("int")).alias("kind"), F.get(grid, (F.floor(i / seeds) % len(ratios)).cast("int")).alias("ratio"), (i % seeds).cast("int").alias("seed")
+    )
+
+
+def even_levels(target: DataFrame, group: list[str], value: str, k: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """group, t, value: k evenly spaced quantiles of a target distribution, which nearest_unused then looks for."""
+    levels = [low + (high - low) * i / max(k - 1, 1) for i in range(k)]
+    q = target.groupBy(*group).agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("q"))
+    return q.select(*group, F.posexplode("q").alias("t", "value"))
+
+
+def matched_subsample(target: DataFrame, pool: DataFrame, group: list[str], value: str, k: int) -> DataFrame:
+    """Members of pool (group, id, value), at most k in a group, whose values are spread as those of target: for each level the nearest left."""
+    return nearest_unused(even_levels(target, group, value, k).withColumnRenamed("value", "_v").select(*group, "t", F.col("_v").alias("value")), pool.select(*group, "id", F.col(value).cast("double").alias("value")), group)
+
+
+def pick_near_size(wanted: DataFrame, pool: DataFrame, group: list[str], tolerance: float, seed: int = 0, nearest: int = 8) -> DataFrame:
+    """wanted (group, w, target) with the id of a pool member (group, id, size) drawn among those of about that size.
+
+    Sizes from target / tolerance to target * tolerance count; where there are none, the nearest few. Pools are cutouts of a class,
+    met in an equi-join on the group and ranked by how far off they are; the draw is a digest.
+    """
+    off = F.abs(F.col("size") - F.col("target"))
+    rows = wanted.join(pool, group)
+    fits = (F.col("size") >= F.col("target") / tolerance) & (F.col("size") <= F.col("target") * tolerance)
+    best = F.row_number().over(Window.partitionBy(*group, "w").orderBy(F.desc("fits"), F.when(~F.col("fits"), F.col("off")), draw(F.lit(str(seed)), F.col("w").cast("string"), F.col("id").cast("string")), "id"))
+    rows = rows.withColumns({"fits": fits, "off": off}).withColumn("_k", best)
+    near = rows.filter(F.col("fits") | (F.col("_k") <= nearest))
+    drawn = F.row_number().over(Window.partitionBy(*group, "w").orderBy(F.desc("fits"), draw(F.lit(str(seed)), F.col("w").cast("string"), F.col("id").cast("string")), "id"))
+    return near.withColumn("_k", drawn).filter("_k = 1").select(*wanted.columns, "id", "size")
+
+
+def placements(items: DataFrame, scene: list[str], tries: int, most: float, seed: int = 0) -> DataFrame:
+    """items (scene, k, width, height, scene_width, scene_height) with x and y where they are put, in the order of k; null if no try fits.
+
+    A try fits if it overlaps no item put before by more than the share most of the smaller one. Tries are digests of
+    seed, scene, k and number, so that any engine makes the same ones; a scene's few items are folded over in one row.
+    """
+    def spot(c: str, room: str) -> Column:
+        u = [draw(F.lit(f"{seed}{c}"), *(F.col(s).cast("string") for s in scene), F.col("k").cast("string"), F.lit(str(t))) for t in range(tries if most < 1 else 1)]
+        return F.array(*[x % (F.greatest(F.col(f"scene_{room}") - F.col(room), F.lit(0)).cast("bigint") + 1) for x in u])
+
+    rows = items.select(*scene, "k", "width", "height", F.arrays_zip(spot("x", "width").alias("x"), spot("y", "height").alias("y")).alias("at"))
+    whole = rows.groupBy(*scene).agg(F.sort_array(F.collect_list(F.struct("k", "width", "height", "at"))).alias("list"))
+    none = F.expr("cast(array() as array<struct<k:bigint,x:bigint,y:bigint,w:bigint,h:bigint>>)")
+
+    def step(put: Column, i: Column) -> Column:
+        def clear(a: Column, p: Column) -> Column:
+            w = F.greatest(F.lit(0), F.least(a["x"] + i["width"], p["x"] + p["w"]) - F.greatest(a["x"], p["x"]))
+            h = F.greatest(F.lit(0), F.least(a["y"] + i["height"], p["y"] + p["h"]) - F.greatest(a["y"], p["y"]))
+            return p["x"].isNull() | (w * h <= most * F.greatest(F.lit(1), F.least(i["width"] * i["height"], p["w"] * p["h"])))
+
+        free = F.get(F.filter(i["at"], lambda a: F.forall(put, lambda p: clear(a, p))), F.lit(0))
+        return F.concat(put, F.transform(F.array(free), lambda f: F.struct(i["k"].cast("bigint").alias("k"), f["x"].alias("x"), f["y"].alias("y"), i["width"].cast("bigint").alias("w"), i["height"].cast("bigint").alias("h"))))
+
+    put = whole.select(*scene, F.explode(F.aggregate("list", none, step)).alias("p"))
+    return items.join(put.select(*scene, F.col("p.k").alias("k"), "p.x", "p.y"), [*scene, "k"])
+
+
 def mix(a: DataFrame, b: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """As many rows of each as the smaller has, with provenance 'a' or 'b'."""
     n = min(a.count(), b.count())
@@ -78,10 +170,15 @@ def sweep_plan(kinds: list[str], low: int, high: int, step: int, seeds: int, spa
 
 
 def strata(df: DataFrame, group: list[str], order: list[str], k: int) -> DataFrame:
-    """stratum (equal slices by rank) and stage (rank scaled to k), both from 0; they place a remainder differently."""
-    rank, n = F.row_number().over(Window.partitionBy(*group).orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy(*group))
-    rows = df.withColumn("_r", rank.cast("bigint")).withColumn("_n", n)
-    return rows.withColumn("stratum", (F.ceil(F.col("_r") * k / F.col("_n")) - 1).cast("int")).withColumn("stage", F.least(F.lit(k - 1), F.floor((F.col("_r") - 1) * k / F.col("_n"))).cast("int")).drop("_r", "_n")
+    """stratum (equal slices by rank) and stage (rank scaled to k), both from 0; they place a remainder differently.
+
+    Rows are ranked task by task and counted by group, so that a large group isn't one task's.
+    """
+    scratch = Scratch(df.sparkSession, "strata")
+    rows = rank_within(scratch, df, group, [F.col(c).asc() for c in order], "_r")
+    n = rows.groupBy(*group).agg(F.max("_r").alias("_n"))
+    rows = rows.join(n, group)
+    return rows.withColumn("stratum", (F.ceil(F.col("_r") * k / F.col("_n")) - 1).cast("int")).withColumn("stage", F.least(F.lit(k - 1), F.floor((F.col("_r") - 1) * k / F.col("_n"))).cast("int")).select(*df.columns, "stratum", "stage")
 
 
 def inverse_cdf(quantiles: Column, u: Column) -> Column:

@@ -71,11 +71,16 @@ def matched_size_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.matched_size(real, n + n // 2, "frame", 3).groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("total"))
 
 
-@query(_with("tp as (select * from pool where field = 'TOMATO_2/7')", f"late as (select frame from (select frame, row_number() over (order by {_draw(chr(39) + '0' + chr(39), 'frame')}, frame) as k from pool) where k <= (select count(*) from tp))") + "select 'A' as arm, count(*) as n, sum(frame)::bigint as total from real union all select 'B', count(*), sum(frame)::bigint from frames union all select 'T', count(*), sum(frame)::bigint from (select frame from real union all select frame from tp) union all select 'M', count(*), sum(frame)::bigint from (select frame from real union all select frame from late)")
+_ARM_POOL = "tp as (select * from pool where field = 'TOMATO_2/7'), tn as (select count(*) as n from tp)"
+_ARM_T = f"once as (select frame from (select frame, row_number() over (order by {_draw(chr(39) + '0' + chr(39), 'frame')}, frame) as k from tp) where k <= (select pool from nr)), ranked as (select frame, row_number() over (order by {_draw(chr(39) + '0' + chr(39), 'frame')}, frame) - 1 as k from tp), extra as (select frame from (select {_draw(chr(39) + '0+' + chr(39), 'i')} % (select n from tn) as k from (select unnest(range((select greatest(pool - (select n from tn), 0) from nr))) as i)) join ranked using (k))"
+_ARM_M = f"copies as (select frame, unnest(range((select ceil((real + pool)::double / real)::bigint from nr))) as copy from real), m as (select frame from (select frame, row_number() over (order by {_draw(chr(39) + '0' + chr(39), 'frame', 'copy')}, frame, copy) as k from copies) where k <= (select real + pool from nr))"
+
+
+@query(_with(_ARM_POOL, _ARM_T, _ARM_M) + "select 'A' as arm, count(*) as n, sum(frame)::bigint as total from real union all select 'B', count(*), sum(frame)::bigint from frames union all select 'T', count(*), sum(frame)::bigint from (select frame from real union all select frame from once union all select frame from extra) union all select 'M', count(*), sum(frame)::bigint from m")
 def arms_abtm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arms of an annotation study: a season, both, and with a pool or as much of the second season."""
+    """Arms of an annotation study: a season, both, and the first filled up from a pool, or by its own repeats."""
     f = frames(spark, sf_dir).select("frame", "field", "year")
-    a = sm.arms(f, 2021, f.filter("field = 'TOMATO_2/7'"))
+    a = sm.arms(f, 2021, 2022, f.filter("field = 'TOMATO_2/7'"), "frame")
     return a.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("total"))
 
 
@@ -158,15 +163,14 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that stay when later ones within 20 bits of one that stays are dropped."""
-    h = _hashes(spark, sf_dir)
-    return pc.keep_first(h.select("id"), pc.close_pairs(h, 20))
+    return pc.keep_unlike(_hashes(spark, sf_dir), 20)
 
 
 @query(_with() + "select lang, quality >= 1 as passed, count(*) as n, sum(n_chars)::bigint as chars from documents join labels using (doc_id) group by all")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language that pass a quality gate, and those that don't."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return d.groupBy("lang", (F.col("quality") >= 1).alias("passed")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return pr.judged(d, "quality", 1).groupBy("lang", "passed").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query(_with() + "select lang, doc_id, n_chars, place from (select lang, doc_id, n_chars, row_number() over (partition by lang order by n_chars desc, doc_id)::int as place from documents where n_chars >= 100) where place <= 5")

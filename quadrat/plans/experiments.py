@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import CLASSES, optimizer, percent_profile
 from ..functions.stats import paired_t_p, signed_rank_p
 from ..operators import runs as rn
-from .fixtures import SQL, frame_boxes, frames, run_metrics, run_metrics_class, train_log
+from .fixtures import SQL, frame_boxes, frames, run_metrics, run_metrics_class, split_metrics, train_log
 
 QUERIES, ORACLE = {}, {}
 
@@ -133,7 +133,17 @@ def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("detector", "pct", "n", F.round("delta", 6).alias("delta"), F.round("t", 4).alias("t"), p.alias("p_closed"))
 
 
-@query()
+_SIGNS = (
+    "d as (select a.detector, a.pct, a.metric - b.metric as d, a.seed from runs a join runs b on a.detector = b.detector and a.pct = b.pct and a.seed = b.seed where a.kind = 'hybrid' and b.kind = 'hybrid' and a.generator = 'v8' and b.generator = 'v2')",
+    "s as (select detector, pct, count(d) as n, avg(d) / nullif(stddev_samp(d) / sqrt(count(d)), 0) as t from d group by all)",
+    "rk as (select *, rank() over (partition by detector, pct order by abs(d)) + (count(*) over (partition by detector, pct, abs(d)) - 1) / 2.0::double as r, row_number() over (partition by detector, pct order by seed) - 1 as k, count(*) over (partition by detector, pct) as m from d where d <> 0)",
+    "w as (select detector, pct, m, least(sum(r) filter (d > 0), sum(r) filter (d < 0), coalesce(sum(r) filter (d > 0), 0), coalesce(sum(r) filter (d < 0), 0)) as w from rk group by all)",
+    "u as (select rk.detector, rk.pct, g.g, sum(case when (g.g >> k) & 1 = 1 then r else 0 end) as total from rk join range(65536) as g(g) on g.g < (1 << m) group by all)",
+    "p as (select w.detector, w.pct, least(1.0::double, 2 * count(*) filter (total <= w + 1e-9)::double / count(*)) as p from w join u using (detector, pct) group by all)",
+)
+
+
+@query(_with(*_SIGNS) + "select detector, pct, n, case when n = 3 then round(1 - abs(t) / sqrt(t * t + 2), 6) end as t_p, round(p, 6) as wilcoxon_p from s left join p using (detector, pct)")
 def paired_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-values of the paired t-test and of the signed-rank test."""
     h = _runs(spark, sf_dir).filter("kind = 'hybrid'")
@@ -141,12 +151,18 @@ def paired_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("detector", "pct", "n", F.round(paired_t_p(F.col("t"), F.col("n")), 6).alias("t_p"), F.round(signed_rank_p(F.col("differences")), 6).alias("wilcoxon_p"))
 
 
-_RECIPE = "rec as (select run, max(lr) as peak, max(epoch) as epochs from train_log group by run), recipes as (select *, case when peak > 0.02::double then 'MuSGD_lr0.01' when peak > 0.0005::double then 'AdamW_lr0.00111' when peak > 0.00005::double then 'AdamW_lr0.0001' else 'explicit_lr1e-05' end as recipe, run % 5 as condition, run % 7 as ratio, (epochs * 37 % 100)::double / 100 as metric from rec)"
+_RECIPE = "rec as (select run, max(lr) as peak, max(epoch) as epochs from train_log group by run), recipes as (select *, case when peak > 0.02::double then 'MuSGD_lr0.01' when peak > 0.0005::double then 'AdamW_lr0.00111' when peak > 0.00005::double then 'AdamW_lr0.0001' else 'explicit_lr1e-05' end as recipe, run % 5 as condition, run % 7 as ratio, test_map50 as metric, val_map50 from rec left join (select run, avg(map50) filter (split = 'test') as test_map50, avg(map50) filter (split = 'val') as val_map50 from split_metrics group by run) using (run))"
 
 
 def _recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rn.recipes(train_log(spark, sf_dir))
-    return rows.withColumns({"condition": F.col("run") % 5, "ratio": F.col("run") % 7, "metric": (F.col("epochs") * 37 % 100) / F.lit(100.0)})
+    rows = rn.with_metrics(rn.recipes(train_log(spark, sf_dir)), split_metrics(spark, sf_dir), ["test", "val"])
+    return rows.withColumns({"condition": F.col("run") % 5, "ratio": F.col("run") % 7, "metric": F.col("test_map50")})
+
+
+@query(_with(_RECIPE) + "select run, epochs, recipe, round(metric, 6) as test_map50, round(val_map50, 6) as val_map50 from recipes")
+def recipe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with their recipes and with what they score on each split."""
+    return _rounded(_recipes(spark, sf_dir).select("run", "epochs", "recipe", "test_map50", "val_map50"), "test_map50", "val_map50")
 
 
 @query(_with(_RECIPE) + "select run, round(peak, 9) as peak, epochs, recipe from recipes")

@@ -147,6 +147,14 @@ def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("run"), epoch.alias("epoch"), (F.round(F.col("value") * 100).cast("bigint") / (F.lit(1000000.0) * (1 + F.col("user_id") % 7 * F.col("user_id") % 5 * 20))).alias("lr"))
 
 
+def split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run (user_id), split and map50: the mean value of a user's even events, and of the odd ones; users 0, 10, ... have no val."""
+    e = table(spark, sf_dir, "events")
+    split = F.when(F.col("event_id") % 2 == 0, "test").otherwise("val")
+    rows = e.select(F.col("user_id").alias("run"), split.alias("split"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return rows.filter("split = 'test' or run % 10 <> 0").groupBy("run", "split").agg((F.sum("cents") / F.count("cents") / 50000.0).alias("map50"))
+
+
 SQL = """
 li as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_linestatus, l_returnflag, l_tax, l_discount,
   round(l_extendedprice * 100)::bigint as cents, floor(l_orderkey / 30)::bigint as tile_id, (l_linenumber % 5)::int as cls0,
@@ -173,5 +181,6 @@ run_metrics as (select case when kind = 0 then 'realonly_' || det || '_seed' ||
   sum(cents)::double / count(cents) / 50000.0::double as metric from named group by 1),
 run_metrics_class as (select 'annotred_' || (['A', 'B', 'T'])[event_id % 3 + 1] || '_yolo26_seed' || (user_id % 3) as run_name, ((event_id // 3) % 5)::int as cls,
   case when (event_id // 3) % 5 < 4 then sum(round(value * 100)::bigint)::double / count(*) / 50000.0::double end as metric from events group by 1, 2, (event_id // 3) % 5),
-train_log as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::int as epoch, round(value * 100)::bigint / (1000000.0::double * (1 + user_id % 7 * user_id % 5 * 20)) as lr from events)
+train_log as (select user_id as run, row_number() over (partition by user_id order by ts, event_id)::int as epoch, round(value * 100)::bigint / (1000000.0::double * (1 + user_id % 7 * user_id % 5 * 20)) as lr from events),
+split_metrics as (select user_id as run, case when event_id % 2 = 0 then 'test' else 'val' end as split, sum(round(value * 100)::bigint)::double / count(*) / 50000.0::double as map50 from events where event_id % 2 = 0 or user_id % 10 <> 0 group by 1, 2)
 """

@@ -51,12 +51,6 @@ def split_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.inventory(frames(spark, sf_dir), frame_boxes(spark, sf_dir).filter("reason is null"))
 
 
-@query(_with() + "select coalesce(reason, 'kept') as reason, count(*) as n from frame_boxes group by reason")
-def skipped_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes by the reason for which they are left out."""
-    return frame_boxes(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(_with("b as (select * from frame_boxes where reason is null)") + "select field, year, count(distinct frame) as n_images, count(class) as n_objects, " + ", ".join(f"count(*) filter (class = '{c}') as \"{c}\"" for c in CLASSES) + " from frames left join b using (frame) group by field, year")
 def field_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images, objects and classes of each field."""

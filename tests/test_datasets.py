@@ -59,6 +59,22 @@ def test_hashes_and_greedy_choice(spark):
         if all((k, i) not in want for k in kept):
             kept.append(i)
     assert sorted(r.id for r in pc.keep_first(hashes.select("id"), pc.close_pairs(hashes, 12)).collect()) == kept
+    assert sorted(r.id for r in pc.keep_unlike(hashes, 12).collect()) == kept
+
+
+def test_band_plans(spark):
+    rng = np.random.default_rng(2)
+    values = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 20)]
+    values += [v ^ (1 << int(rng.integers(63))) ^ (1 << int(rng.integers(63))) for v in values] + values[:3]
+    table = spark.createDataFrame(list(enumerate(values)) + [(99, None)], "id long, hash long")
+    for most in (0, 2, 6):
+        want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if bin((values[i] ^ values[j]) & (2**64 - 1)).count("1") <= most}
+        assert {(r.a, r.b) for r in pc.close_pairs(table, most).collect()} == want
+    for n in (10, 10**5, 10**9):
+        bands, turned = pc.band_plan(6, n)
+        assert turned == 6 // bands
+    with pytest.raises(ValueError, match="fewer bits"):
+        pc.band_plan(20, 10**9)
 
 
 def test_splits(spark):
@@ -98,3 +114,60 @@ def test_paired_runs(spark):
     assert s.gain_real == pytest.approx(0.15) and s.matched is None
     p = rn.paired(rows.filter("kind = 'hybrid'"), rows.filter("kind = 'real'"), ["detector"]).first()
     assert p.n == 2 and p.t == pytest.approx(3.0)
+
+
+def test_arms_and_seasons(spark):
+    f = sm.seasons(spark.createDataFrame([(f"TOMATO_{1 + (i % 5 == 0)}__{i}",) for i in range(20)], "image string"), {2021: "TOMATO_1__", 2022: "TOMATO_2__"})
+    pool = spark.createDataFrame([(f"s{i}", 2022) for i in range(3)], "image string, year int")
+    rows = sm.arms(f, 2021, 2022, pool, "image").groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image").alias("d"), F.count_if(F.col("image").startswith("s")).alias("s")).collect()
+    found = {r.arm: (r.n, r.d, r.s) for r in rows}
+    assert found.pop("M")[::2] == (20, 0) and found == {"A": (16, 16, 0), "B": (20, 20, 0), "T": (20, 19, 4)}
+    with pytest.raises(ValueError, match="no season"):
+        sm.seasons(spark.createDataFrame([("x",)], "image string"), {2021: "TOMATO_1__"})
+    with pytest.raises(ValueError, match="neither season"):
+        sm.arms(f.withColumn("year", F.lit(2020)), 2021, 2022, pool, "image")
+    assert [r.image for r in sm.only_in(f.select("image"), f.filter("year = 2021").select("image"), ["image"]).orderBy("image").collect()] == sorted(f"TOMATO_2__{i}" for i in (0, 5, 10, 15))
+    entries = spark.createDataFrame([("train", True), ("test", False)], "split string, is_synth boolean")
+    sm.assert_real(entries)
+    with pytest.raises(ValueError, match="synthetic image in test"):
+        sm.assert_real(entries.withColumn("split", F.lit("test")))
+
+
+def test_placements(spark):
+    rng = np.random.default_rng(5)
+    items = [(s, k, int(rng.integers(20, 60)), int(rng.integers(20, 60)), 120, 100) for s in range(8) for k in range(9)] + [(99, 0, 500, 10, 120, 100)]
+    schema = "scene long, k long, width long, height long, scene_width long, scene_height long"
+    put = sm.placements(spark.createDataFrame(items, schema), ["scene"], 10, 0.2).collect()
+    assert len(put) == len(items)
+
+    def share(a, b):
+        w, h = (max(0, min(a[c] + a[d], b[c] + b[d]) - max(a[c], b[c])) for c, d in (("x", "width"), ("y", "height")))
+        return w * h / min(a.width * a.height, b.width * b.height)
+
+    for s in range(8):
+        mine = [r for r in put if r.scene == s and r.x is not None]
+        assert mine and all(0 <= r.x <= 120 - r.width and 0 <= r.y <= 100 - r.height for r in mine)
+        assert all(share(a, b) <= 0.2 for a in mine for b in mine if a.k < b.k)
+    assert any(r.x is None for r in put)
+    free = sm.placements(spark.createDataFrame(items, schema), ["scene"], 10, 1.0).collect()
+    assert all(r.x is not None for r in free)
+
+
+def test_sizes_that_fit(spark):
+    pool = spark.createDataFrame([("g", i, float(10 * i)) for i in range(1, 21)], "g string, id long, size double")
+    wanted = spark.createDataFrame([("g", w, t) for w, t in enumerate((52.0, 100.0, 5000.0) * 10)], "g string, w long, target double")
+    got = sm.pick_near_size(wanted, pool, ["g"], 1.25).collect()
+    assert len(got) == 30 and {r.size for r in got if r.target == 52} <= {50.0, 60.0} and {r.size for r in got if r.target == 100} <= {80.0, 90.0, 100.0, 110.0, 120.0}
+    assert {r.size for r in got if r.target == 5000} <= {float(x) for x in range(130, 201, 10)} and len({r.size for r in got}) > 4
+    target = spark.createDataFrame([("g", float(x)) for x in range(100, 160)], "g string, size double")
+    near = sorted(r.id for r in sm.matched_subsample(target, pool, ["g"], "size", 3).collect())
+    assert near == [10, 13, 16] or near == [10, 13, 15]
+
+
+def test_gates(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 5), ("b", 9)], "g string, v int")
+    assert pr.gate(rows, F.col("v") < 4, ["g"]).count() == 2
+    assert pr.gate_or_fail(rows, F.col("v") > 4).count() == 2
+    with pytest.raises(ValueError, match="all rows were rejected"):
+        pr.gate_or_fail(rows, F.col("v") > 9)
+    assert pr.spread(spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "v double"), "v").first().middle == 3

@@ -48,7 +48,11 @@ def test_metrics(spark, tmp_path):
     for k in range(2):
         (tmp_path / "m" / f"r{k}.csv").write_text(f"run_name,split,precision,recall,f1,map50,map50_95\nrealonly_yolo11_seed{k},test,0.5,0.5,0.5,{'nan' if k else 0.5},0.3\n")
     rows = ex.read_metrics(spark, str(tmp_path / "m"))
+    (tmp_path / "m" / "odd.csv").write_text("run_name,split,precision,recall,f1,map50,map50_95\nx_seed0,val,NaN, nan ,NAN,,0.25\n\n")
     assert rows.count() == 2 and rows.filter("map50 is null").count() == 1
+    odd = ex.read_metrics(spark, str(tmp_path / "m")).filter("split = 'val'").collect()
+    assert [(r.precision, r.recall, r.f1, r.map50, r.map50_95) for r in odd] == [(None, None, None, None, 0.25)]
+    (tmp_path / "m" / "odd.csv").unlink()
     assert ex.families(rows).first().seeds == 2
     q = running_means(ex.stream_metrics(spark, str(tmp_path / "m"))).writeStream.outputMode("complete").format("memory").queryName("means").start()
     q.processAllAvailable()
@@ -65,23 +69,33 @@ def test_config(tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "e.yaml").write_text("extends: ../base.yaml\na: {y: 5}\n")
     assert ex.load_config(tmp_path / "sub" / "e.yaml") == {"a": {"x": 1, "y": 5}, "b": 3}
+    (tmp_path / "c.yaml").write_text("extends: sub/e.yaml\na: 7\nc: {z: [1]}\n")
+    assert ex.load_config(tmp_path / "c.yaml") == {"a": 7, "b": 3, "c": {"z": [1]}}
+    (tmp_path / "base.yaml").write_text("extends: c.yaml\n")
+    with pytest.raises(ValueError, match="extends itself"):
+        ex.load_config(tmp_path / "c.yaml")
 
 
 def test_sinks(spark, tmp_path):
     (tmp_path / "regions.json").write_text(json.dumps({"i": {"mode": "poly", "polys": [[[0, 0], [1, 0], [1, 1]]]}, "j": {"mode": "none"}}))
     r = {x.image: x for x in an.read_regions(spark, str(tmp_path / "regions.json")).collect()}
     assert r["i"].polys == [[[0, 0], [1, 0], [1, 1]]] and r["j"].polys is None
-    b = spark.createDataFrame([("i", 1, 0.5, 0.5, 0.1, 0.1)], "image string, cls int, cx double, cy double, w double, h double")
-    sinks.write_yolo(b, str(tmp_path / "y"))
-    assert an.read_yolo(spark, str(tmp_path / "y")).first().cx == 0.5
+    b = spark.createDataFrame([("i", 1, 0.5, 0.5, 0.1, 0.1, 2, 9.0, "val"), ("i", 0, 0.25, 0.5, 0.1, 0.1, 0, 9.0, "val"), ("j.k", 3, 0.5, 0.5, 0.1, 0.1, 0, 9.0, "train"), ("z", 3, 0.5, 0.5, 0.1, 0.1, 0, 1.0, "train")], "image string, cls int, cx double, cy double, w double, h double, line int, area double, split string")
+    assert {(r.image, r.n) for r in sinks.write_yolo(b, str(tmp_path / "y"), 2.0, "split").collect()} == {("i", 2), ("j.k", 1)}
+    assert (tmp_path / "y" / "val" / "i.txt").read_text() == "0 0.250000 0.500000 0.100000 0.100000\n1 0.500000 0.500000 0.100000 0.100000\n"
+    assert {(r.image, r.line, r.cls, r.cx) for r in an.read_yolo(spark, str(tmp_path / "y")).collect()} == {("i", 0, 0, 0.25), ("i", 1, 1, 0.5), ("j.k", 0, 3, 0.5)}
+    sinks.purge(spark, str(tmp_path / "y"))
+    assert not (tmp_path / "y").exists()
     target = f"file://{tmp_path}/pool"
     assert sinks.swap_in(spark.range(3), target) == 3
     with pytest.raises(ValueError, match="nothing"):
         sinks.swap_in(spark.range(0), target)
     assert spark.read.parquet(target).count() == 3
     assert sinks.pending(spark.range(5), spark.range(3), ["id"]).count() == 2
-    m = sinks.merge_pools({"a": spark.range(2), "b": spark.range(1).withColumn("x", F.lit(1))})
-    assert m.filter("provenance = 'a' and x is null").count() == 2
+    m, missing = sinks.merge_pools({"a": spark.range(2), "b": spark.range(1).withColumn("x", F.lit(1)), "c": None, "d": spark.range(0)})
+    assert m.filter("provenance = 'a' and x is null").count() == 2 and missing == ["c", "d"]
+    with pytest.raises(ValueError, match="nothing in"):
+        sinks.merge_pools({"c": None})
     sinks.write_detections(spark.createDataFrame([("r", "test", 1)], "run string, split string, n int"), str(tmp_path / "d"))
     assert (tmp_path / "d" / "run=r" / "split=test").exists()
     rows = spark.createDataFrame([("p", 1)], "image string, pos int")
@@ -92,3 +106,50 @@ def test_sinks(spark, tmp_path):
     text = spark.read.text(str(tmp_path / "split" / "fields")).first()[0]
     assert json.loads(text) == {"protocol": "holdout", "plot_to_split": {"a": "train", "b": "test"}, "field_year": {"a": 2021, "b": 2022}, "n_images": 3}
     assert spark.read.parquet(str(tmp_path / "split" / "frames")).count() == 3
+
+
+def test_reports_and_descriptors(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, None), ("b", 2, [0.5])], "k string, n int, q array<double>")
+    sinks.write_json(rows, str(tmp_path / "r" / "one.json"), key="k")
+    assert json.loads((tmp_path / "r" / "one.json").read_text()) == {"a": {"n": 1, "q": None}, "b": {"n": 2, "q": [0.5]}}
+    sinks.write_jsonl(rows, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
+    (tmp_path / "set" / "images" / "val").mkdir(parents=True)
+    for n in ("x.png", "y.jpg"):
+        (tmp_path / "set" / "images" / "val" / n).write_bytes(b"x")
+    (tmp_path / "set" / "train.txt").write_text("a.png\n\n/b.png\na.png\n")
+    sinks.write_descriptor(str(tmp_path / "set" / "dataset.yaml"), str(tmp_path / "set"), ["p", "q"], {"train": "train.txt", "val": "images/val"}, {"seed": 1})
+    one = str(tmp_path / "set" / "dataset.yaml")
+    assert sorted(r.image for r in an.dataset_images(spark, one, "train").collect()) == sorted([f"{tmp_path}/set/a.png"] * 2 + ["/b.png"])
+    assert an.dataset_images(spark, one, "val").count() == 2
+    with pytest.raises(ValueError, match="no 'test' entry"):
+        an.dataset_images(spark, one, "test")
+    (tmp_path / "split.json").write_text(json.dumps({"plot_to_split": {"f": "val"}, "field_year": {"f": 2022}, "uid_to_split": {"u": "val", "v": "train"}}))
+    frames, fields = ex.read_split(spark, str(tmp_path / "split.json"))
+    assert {tuple(r) for r in frames.collect()} == {("u", "val"), ("v", "train")} and [tuple(r) for r in fields.collect()] == [("f", "val", 2022)]
+    for n, text in (("a", {"real": {"fol_s": {"n": 3, "p10": 1, "p50": 2.5, "p90": 4}}, "pool": 1}), ("b", {"fol_s": {"n": 3, "p10": 1, "p50": 2.5, "p90": 4}})):
+        (tmp_path / f"{n}.json").write_text(json.dumps(text, indent=2))
+        assert [(r.stat, r.p50) for r in ex.read_appearance_prior(spark, str(tmp_path / f"{n}.json")).collect()] == [("fol_s", 2.5)]
+    (tmp_path / "nested.json").write_text(json.dumps({"regions": {"i": {"mode": "all"}}, "meta": {"tool": "t"}}, indent=2))
+    assert [(r.image, r["mode"]) for r in an.read_regions(spark, str(tmp_path / "nested.json")).collect()] == [("i", "all")]
+
+
+def test_sidecars_that_are_cut_off_are_not_done(spark):
+    whole = json.dumps({"width": 3, "instances": [{"id": 1, "class": "SETVE", "gt_box": [0, 0, 1, 1], "mask_box": [0, 0, 1, 1], "iou": 0.5, "area": 4}]})
+    cars = spark.createDataFrame([("/m/a.json", whole), ("/m/b.json", whole[:-9]), ("/m/c.json", ""), ("/m/d.json", "{}")], "path string, value string")
+    done = {r.uid: len(r.instances) for r in an.completed(cars).collect()}
+    assert done == {"a": 1, "d": 0}
+    todo = spark.createDataFrame([(x,) for x in "abcde"], "uid string")
+    assert sorted(r.uid for r in sinks.pending(todo, an.completed(cars), ["uid"]).collect()) == ["b", "c", "e"]
+
+
+def test_odd_annotations(spark):
+    files = [("/x/TOMATO_1/p9/Annotations/q.xml", "<annotation>\n<folder>Images</folder><size><width>12.0</width></size><object><name>setve</name><bndbox><xmin>1.9</xmin><ymax>4</ymax></bndbox></object></annotation>"), ("/x/bad.xml", "no xml"), ("/x/e.xml", "<annotation></annotation>")]
+    table = spark.createDataFrame(files, "path string, value string")
+    got = {r.uid: r for r in an.parse_voc(table, "TOMATO_1", True, 2).collect()}
+    q = got["TOMATO_1__q"]
+    assert set(got) == {"TOMATO_1__q", "TOMATO_1__e"} and q.plot == "p9/Annotations" and (q.width, q.height) == (12, 0)
+    assert [tuple(o) for o in q.objects] == [("SETVE", 1.9, 0.0, 0.0, 4.0)]
+    photos = spark.createDataFrame([("q", files[0][0]), ("n", None), ("e", "/x/e.xml")], "uid string, xml string")
+    boxes = {r.uid: r.boxes for r in an.photo_boxes(photos, table).collect()}
+    assert boxes == {"q": [], "n": None, "e": []}
