@@ -1,17 +1,15 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder, ids and ranks without skew."""
+"""Shared plumbing: rows that a second scan finds again, joins without skew."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.ranking import rank_within  # noqa: F401
+from ..storage import Scratch, file_system, shared_dir  # noqa: F401
 
 #: Words of the text contracts: runs of characters other than these ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,46 +18,6 @@ AT = "struct<file:long,row:long>"
 #: A key is hot if it has more than one in so many rows.
 HOT = 1000
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset on one machine, an own one. On a cluster it must be set."""
-    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if said:
-        return said.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        own = tempfile.mkdtemp(prefix="quadrat-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _own_dirs[app] = f"file://{own}"
-    return _own_dirs[app]
-
-
-class Scratch:
-    """Tables of one query run, each under its own name in a fresh subfolder of the shared folder.
-
-    A table cuts lineage and survives the loss of executors.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and return the stored rows."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -134,42 +92,9 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], count: str) ->
     return many.join(F.broadcast(hot.drop(count)), keys).unionByName(rest)
 
 
-def rank_within(scratch: Scratch, df: DataFrame, group: list[str], order: list[Column], name: str, label: str = "ranked") -> DataFrame:
-    """Row number from 1 within each group, whatever the group's size.
-
-    Rows are range-partitioned by group and order, so that a hot group spreads over many tasks;
-    each task numbers its own rows, and only counts by task and group are added up.
-    Nulls form a group, last. Writes one scratch table.
-    """
-    keys = [F.col(g).asc_nulls_last() for g in group] + order
-    n = partitions(scratch.spark)
-    placed = scratch.table(
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()), label
-    )
-    task = F.shiftright("_m", 33)
-    parts = placed.groupBy(task.alias("_task"), *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
-    # one row per task and group: no more rows of a group than tasks
-    before = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    parts = parts.select("_task", "_first", "_before", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
-    match = F.col("_t") == F.col("_task")
-    for i, g in enumerate(group):
-        match &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = placed.withColumn("_t", task).join(parts, match)
-    out = [c for c in placed.columns if c != "_m"]
-    return joined.select(*out, (F.col("_m") - F.col("_first") + F.col("_before") + 1).alias(name))
-
-
 def task_stamp() -> str:
     """Tells this attempt of this task from all others, for names of files in the shared folder."""
     from pyspark import TaskContext
 
     at = TaskContext.get()
     return f"{at.partitionId():06d}-{at.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-
-
-def file_system(uri: str):
-    """A file system and the path in it, for the shared folder: local or network mounts, HDFS, object stores."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))

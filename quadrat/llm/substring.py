@@ -9,6 +9,11 @@ Those windows are compared over their whole length, which extends a match to bot
 Documents are held in blocks, a compressed row each. What blocks exchange are sorted lists of
 distinct hashes, dealt out by ranges of the hash; a hash that is frequent in a block is sent once, so
 no passage, however common, gathers in a task. Answers are bitmaps in the order that was sent.
+
+A list costs a row for each block and range, so that ranges can't grow in number with the corpus for
+ever: with more than MOST_RANGES of them, hashes are rows of their own, which Spark deals out and sorts, and
+what grows is one row for each hash that a block has. The results are the same. A hash then has as many rows
+as blocks that have it, at most one each, which is less than a task's share.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, partitions
 
@@ -32,6 +38,8 @@ BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 4096
 #: Hashes that one range holds, about.
 RANGE_HASHES = 1_000_000
+#: Ranges up to which blocks send a list to each: a list has some hundred hashes then.
+MOST_RANGES = 1024
 LAST = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -230,16 +238,60 @@ def _flags(answers: list[dict] | None, h: np.ndarray, bits: int, n: int) -> np.n
     return out
 
 
+def _unpacked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of anchors to rows."""
+    for b in batches:
+        for block_id, data in zip(b.column("block_id").to_pylist(), b.column("data")):
+            h = np.cumsum(_unpacked(data.as_py(), np.uint64), dtype=np.uint64)
+            yield pa.record_batch([pa.array(np.full(len(h), block_id)), pa.array(h.view(np.int64))], names=["block_id", "h"])
+
+
+def _gathered_rows(table: pa.Table) -> pa.Table:
+    """The rows of a block to one, of sorted hashes."""
+    h = table["h"].to_numpy().view(np.uint64)
+    check = table["check"].to_numpy() if "check" in table.column_names else np.zeros(len(h), np.int32)
+    order = np.lexsort((check.view(np.uint32), h))
+    return pa.table({"block_id": table["block_id"][:1], "known": pa.array([h[order].tobytes()], pa.binary()), "checks": pa.array([check[order].tobytes()], pa.binary())})
+
+
+def _among(row: dict, name: str, h: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
+    """Which of the sorted hashes (with checks) are among those gathered for the block."""
+    found = row[name]
+    if not found:
+        return np.zeros(len(h), bool)
+    known = np.frombuffer(found["known"], np.uint64)
+    if check is None:
+        return np.isin(h, known)
+    pair = np.dtype([("h", np.uint64), ("c", np.uint32)])
+    mine, theirs = np.empty(len(h), pair), np.empty(len(known), pair)
+    mine["h"], mine["c"], theirs["h"], theirs["c"] = h, check, known, np.frombuffer(found["checks"], np.uint32)
+    # both are sorted and without repeats: equal neighbours of the merged list are met
+    both = np.concatenate([mine, theirs])
+    order = np.lexsort((both["c"], both["h"]))
+    met = np.zeros(len(both), bool)
+    met[order[:-1]] = both[order[:-1]] == both[order[1:]]
+    met[order[1:]] |= met[order[:-1]]
+    return met[: len(h)]
+
+
+def _asked(row: dict, block: Block, n_ranges: int) -> np.ndarray:
+    """Places of the windows in question, by what the block was told about its anchors."""
+    distinct = block.anchors()[2]
+    return block.candidates(_flags(row["about_anchors"], distinct, 48, n_ranges) if n_ranges else _among(row, "about_anchors", distinct))
+
+
 def _second(window: int, n_ranges: int):
-    """Blocks with answers about anchors to the windows in question."""
+    """Blocks with answers about anchors to the windows in question: lists for each range, or rows if there are no ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 block = _opened(row, window)
-                at = block.candidates(_flags(row["about_anchors"], block.anchors()[2], 48, n_ranges))
-                _, a, check, least = block.windows(at)
+                _, a, check, least = block.windows(_asked(row, block, n_ranges))
+                if not n_ranges:
+                    yield pa.record_batch([pa.array(np.full(len(a), row["block_id"])), pa.array(a.view(np.int64)), pa.array(check.view(np.int32)), pa.array(least)], names=["block_id", "h", "check", "least"])
+                    continue
                 sent = list(_sent(row["block_id"], n_ranges, 64, a, check, least))
                 if sent:
                     yield pa.record_batch(
@@ -258,9 +310,10 @@ def _third(window: int, n_ranges: int, with_text: bool):
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
                 block = _opened(row, window)
-                at = block.candidates(_flags(row["about_anchors"], block.anchors()[2], 48, n_ranges))
-                number, a, _, least = block.windows(at)
-                repeated = (_flags(row["about_windows"], a, 64, n_ranges) | False)[number] | (least[number] < block.ids[block.doc[at]])
+                at = _asked(row, block, n_ranges)
+                number, a, check, least = block.windows(at)
+                elsewhere = _flags(row["about_windows"], a, 64, n_ranges) if n_ranges else _among(row, "about_windows", a, check)
+                repeated = elsewhere[number] | (least[number] < block.ids[block.doc[at]])
                 step = np.zeros(len(block.h) + 1, np.int64)
                 np.add.at(step, at[repeated], 1)
                 np.add.at(step, at[repeated] + window, -1)
@@ -282,7 +335,7 @@ def _third(window: int, n_ranges: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS, most_ranges: int = MOST_RANGES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless with_text) of every row.
 
     A window of so many words is removed if its words also start in a document with a smaller
@@ -298,15 +351,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(partitions(spark), size // 6 // RANGE_HASHES)
-    blocks = scratch.table(base.mapInArrow(_first(window, n, block_bytes, block_docs), BLOCK_DDL), "blocks")
+    n = n if n <= most_ranges else 0
+    blocks = scratch.table(base.mapInArrow(_first(window, n or 1, block_bytes, block_docs), BLOCK_DDL), "blocks")
     anchors = blocks.select("block_id", F.explode("anchors").alias("x")).select("block_id", "x.range", "x.data")
-    about = scratch.table(anchors.groupBy("range").applyInArrow(_known_elsewhere, ANSWER_DDL), "about-anchors")
-
-    def gathered(answers: DataFrame, name: str) -> DataFrame:
-        return answers.groupBy("block_id").agg(F.collect_list(F.struct("range", "bits")).alias(name))
-
-    held = blocks.select("block_id", "ids", "nulls", "lengths", "texts").join(gathered(about, "about_anchors"), "block_id", "left")
-    sent = held.mapInArrow(_second(window, n), "block_id long, range int, data binary, check binary, least binary")
-    about2 = scratch.table(sent.groupBy("range").applyInArrow(_earlier_elsewhere, ANSWER_DDL), "about-windows")
-    final = held.join(gathered(about2, "about_windows"), "block_id", "left")
+    held = blocks.select("block_id", "ids", "nulls", "lengths", "texts")
+
+    def told(to: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+        """Blocks with what they were told: bitmaps by range, or a struct of gathered hashes."""
+        if n:
+            rows = answers.groupBy("block_id").agg(F.collect_list(F.struct("range", "bits")).alias(name))
+        else:
+            found = answers.groupBy("block_id").applyInArrow(_gathered_rows, "block_id long, known binary, checks binary")
+            rows = found.select("block_id", F.struct("known", "checks").alias(name))
+        return to.join(rows, "block_id", "left")
+
+    if n:
+        about = anchors.groupBy("range").applyInArrow(_known_elsewhere, ANSWER_DDL)
+    else:
+        same = Window.partitionBy("h")
+        rows = anchors.select("block_id", "data").mapInArrow(_unpacked_rows, "block_id long, h long")
+        about = rows.withColumns({"a": F.min("block_id").over(same), "z": F.max("block_id").over(same)}).filter("a < z").select("block_id", "h")
+    held = told(held, scratch.table(about, "about-anchors"), "about_anchors")
+    if n:
+        sent = held.mapInArrow(_second(window, n), "block_id long, range int, data binary, check binary, least binary")
+        about = sent.groupBy("range").applyInArrow(_earlier_elsewhere, ANSWER_DDL)
+    else:
+        same = Window.partitionBy("h", "check")
+        sent = held.mapInArrow(_second(window, 0), "block_id long, h long, check int, least long")
+        about = sent.withColumn("first", F.min("least").over(same)).filter("first < least").select("block_id", "h", "check")
+    final = told(held, scratch.table(about, "about-windows"), "about_windows")
     return final.mapInArrow(_third(window, n, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -565,8 +565,8 @@ def repeats_oracle(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("block_docs", [4096, 3])
-def test_repeats(spark, empty, tmp_path, block_docs):
+@pytest.mark.parametrize(("block_docs", "most_ranges"), [(4096, 1024), (3, 1024), (3, 0)])
+def test_repeats(spark, empty, tmp_path, block_docs, most_ranges):
     rng = random.Random(9)
     rows = [(None, None), (None, ""), (0, "a b c")]
     passages = [words(rng, n) for n in (49, 50, 51, 80, 130)]
@@ -577,9 +577,9 @@ def test_repeats(spark, empty, tmp_path, block_docs):
     rng.shuffle(rows)
     path = str(tmp_path / "r")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
-    got = substring.remove_repeats(spark.read.parquet(path), block_docs=block_docs).collect()
+    got = substring.remove_repeats(spark.read.parquet(path), block_docs=block_docs, most_ranges=most_ranges).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == collections.Counter(repeats_oracle(rows))
-    assert substring.remove_repeats(empty).count() == 0
+    assert substring.remove_repeats(empty, most_ranges=most_ranges).count() == 0
 
 
 def test_cover():
