@@ -306,7 +306,7 @@ def _resampled(name: str, evaluated: str) -> tuple[str, ...]:
 def _maps(spark: SparkSession, sf_dir: str, arm: int, weights: DataFrame) -> DataFrame:
     gt = gt_box(spark, sf_dir)
     rows = ev.evaluated(ev.top_k(_det(spark, sf_dir, arm)), gt, UNIT, [0.5]).filter("bin = 'all'")
-    return ev.resampled_map(rows, ev.truth_counts(gt, UNIT).filter("bin = 'all'"), weights, UNIT)
+    return ev.resampled_map(rows, ev.truth_counts(gt, UNIT).filter("bin = 'all'"), weights, UNIT, RESAMPLES)
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
