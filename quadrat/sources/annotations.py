@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import plot_key, season, stem, uid
+from ..functions.names import label_path, plot_key, season, stem, uid
 
 VOC = "folder string, filename string, size struct<width:string,height:string>, object array<struct<name:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
 NO_FOLDER, IMAGE_SUFFIX = "UNKNOWN", ".JPG"
@@ -176,6 +176,12 @@ def dataset_images(spark: SparkSession, descriptor: str, split: str) -> DataFram
     return files.select(F.col("path").alias("image"))
 
 
+def labelled(images: DataFrame, labels: DataFrame, key: str = "image") -> DataFrame:
+    """Images (a path) whose label file is among labels (path)."""
+    there = labels.select(F.col("path").alias("_label"))
+    return images.withColumn("_label", label_path(F.col(key))).join(there, "_label", "left_semi").select(*images.columns)
+
+
 def completed(sidecars: DataFrame) -> DataFrame:
     """uid and instances of sidecars (path, value: the whole JSON) that are intact; cut-off ones aren't done."""
     one = "id int, class string, gt_box array<double>, mask_box array<int>, iou double, area bigint"

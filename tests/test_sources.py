@@ -39,6 +39,9 @@ def test_yolo_and_images(spark, tmp_path):
     found = {r.uid: r.path and r.path.rsplit("/", 1)[1] for r in an.find_images(a, images).collect()}
     assert found == {"u": "a.JPG", "v": "b.jpeg", "w": None}
     tiles = spark.createDataFrame([("/x/p_t3.png",), ("/x/p_t4.png",), ("/x/q_t1.png",)], "image string")
+    there = spark.createDataFrame([("/x/images/labels/a.txt",), ("/y/labels/train/b.txt",)], "path string")
+    pictures = spark.createDataFrame([("/x/images/images/a.png",), ("/y/images/train/b.jpg",), ("/y/images/train/c.jpg",)], "image string")
+    assert sorted(r.image for r in an.labelled(pictures, there).collect()) == ["/x/images/images/a.png", "/y/images/train/b.jpg"]
     photos, missing = an.source_photos(tiles, spark.createDataFrame([("p",)], "uid string"))
     assert photos.count() == 2 and [r.uid for r in missing.collect()] == ["q"]
 
@@ -153,3 +156,16 @@ def test_odd_annotations(spark):
     photos = spark.createDataFrame([("q", files[0][0]), ("n", None), ("e", "/x/e.xml")], "uid string, xml string")
     boxes = {r.uid: r.boxes for r in an.photo_boxes(photos, table).collect()}
     assert boxes == {"q": [], "n": None, "e": []}
+
+
+def test_tiled_label_files(spark, tmp_path):
+    from quadrat.functions.geometry import box, to_yolo
+    from quadrat.operators import splits as sp
+
+    frames = spark.createDataFrame([(1, 100, 60)], "frame long, width long, height long")
+    boxes = spark.createDataFrame([(1, 2, 10, 10, 30, 20), (1, 4, 62, 30, 98, 50)], "frame long, cls int, x1 long, y1 long, x2 long, y2 long")
+    cut = sp.tile_boxes(frames, boxes, 60, 40, 0.4).withColumn("image", F.format_string("u%d_t%d", "frame", "ti"))
+    rows = cut.withColumn("y", to_yolo(box(), F.lit(60), F.lit(60))).select("image", "cls", "y.*", F.lit("train").alias("split"))
+    sinks.write_yolo(rows, str(tmp_path / "labels"), split="split")
+    assert sorted(x.name for x in (tmp_path / "labels" / "train").iterdir()) == ["u1_t0.txt", "u1_t1.txt"]
+    assert (tmp_path / "labels" / "train" / "u1_t0.txt").read_text().startswith("2 0.333333 0.250000")
