@@ -69,17 +69,21 @@ def _secret_sql() -> str:
         f"select doc_id, {k} as kind, unnest(string_split_regex(t, '{p}')) as gap, unnest(regexp_extract_all(t, '{p}', 0)) as m, unnest(range(len(string_split_regex(t, '{p}')))) as nth from d where regexp_matches(t, '{p}')" for k, p in enumerate(quoted)
     )
     names = str(secrets.KINDS)
+    masked = "m"
+    for part in secrets.ALLOWED_PARTS:
+        masked = f"regexp_replace({masked}, '{part}', '{secrets.MASK * len(part)}', 'gi')"
     limits = " ".join(f"when {3 + k} then {secrets.most_sum(bits)}" for k, (_, _, bits) in enumerate(secrets.CLASSES.values()))
     return f"""
         with d as (select doc_id, coalesce(text, '') as t from documents),
         p as ({parts}),
         q as (select *, coalesce(sum(length(gap) + length(m)) over (partition by doc_id, kind order by nth rows between unbounded preceding and 1 preceding), 0)::bigint + length(gap) as a from p),
         base as (select doc_id, kind, a, a + length(m) as z from q where m is not null and kind < 3 and (kind > 0 or length(regexp_extract(m, '{quoted[0]}', 2)) >= {secrets.LEAST_VALUE})),
-        runs as (select doc_id, kind, a, nth, case when kind = 3 then lower(m) else m end as r from q where m is not null and kind >= 3 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')
+        runs as (select doc_id, kind, a, nth, case when kind = 3 then lower({masked}) else {masked} end as r, regexp_matches(m, '[0-9]') as mixed from q where m is not null and kind >= 3
+                 and (regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') or kind = 4 and not regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]'))
                  and not regexp_matches(m, '{secrets.ALLOWED_RUN}') and not regexp_matches(right(gap, 12), '{secrets.ALLOWED_BEFORE}') and (kind = 3 or not regexp_matches(m, '^[0-9A-Fa-f]+$'))),
         w as (select *, unnest(range(0, length(r) - {secrets.WINDOW - 1})) as i from runs),
-        h as (select doc_id, kind, a, nth, i, list_sum(list_transform(map_values(list_histogram(string_split(substr(r, i + 1, {secrets.WINDOW}), ''))), lambda c: ({secrets.LOGS})[c::bigint + 1])) as s from w),
-        found as (select doc_id, kind, a + min(i) as a, a + max(i) + {secrets.WINDOW} as z from h where s <= case kind {limits} end group by doc_id, kind, a, nth),
+        h as (select doc_id, kind, a, nth, i, mixed, contains(substr(r, i + 1, {secrets.WINDOW}), '{secrets.MASK}') as known, list_sum(list_transform(map_values(list_histogram(string_split(substr(r, i + 1, {secrets.WINDOW}), ''))), lambda c: ({secrets.LOGS})[c::bigint + 1])) as s from w),
+        found as (select doc_id, kind, a + min(i) as a, a + max(i) + {secrets.WINDOW} as z from h where not known and s <= case when mixed then case kind {limits} end else {secrets.most_sum(secrets.LETTERS_BITS)} end group by doc_id, kind, a, nth),
         everything as (select * from base union all select * from found),
         shown as (select *, ({names})[kind + 1] || ':' || a || ':' || z as x from everything),
         g as (select doc_id, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2, string_agg(x, ',' order by a, kind) filter (kind < 3) as b, string_agg(x, ',' order by a, kind) as s from shown group by doc_id)

@@ -4,8 +4,8 @@ Matches and the gaps between them come from one split and one extraction of each
 sum of their lengths within the document gives places. Candidate strings (long runs of one class
 of characters) are folded over character by character: the counts of the last WINDOW characters change
 by one that enters and one that leaves, and with them the sum of c * log2(c), in millionths. A run is
-reported from the first window to the last one whose entropy reaches its class's threshold, unless
-the allow-list knows it.
+reported from the first window to the last one whose entropy reaches its class's threshold; windows that
+reach into a part that the allow-list knows don't count, and runs that it knows as a whole don't either.
 """
 
 from __future__ import annotations
@@ -28,7 +28,12 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdef", r"[0-9A-Fa-f]{20,}", 3.0),
     "entropy_b64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"[A-Za-z0-9+/_=-]{20,}", 3.7),
 }
-ALLOWED_RUN = r"(?i)example|0123456789|abcdefghij|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Bits that a run of letters of both cases and no digit has to reach; other runs without digits or without letters aren't looked at.
+LETTERS_BITS = 4.1
+ALLOWED_RUN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Parts of runs, in any case, that belong to no secret.
+ALLOWED_PARTS = ("example", "0123456789", "abcdefghij")
+MASK = "~"
 ALLOWED_BEFORE = r"(?i)(md5|sha-?1|sha-?256|sha-?384|sha-?512)[\x20:=-]+$"
 
 KINDS = ["assign", "access", "hex", *CLASSES]
@@ -56,17 +61,19 @@ def _parts(kind: int) -> Column:
 def _window_hull(name: str) -> Column:
     """Places in match of the first window's begin and the last one's end that reach the threshold; -1, -1 for none."""
     alphabet, _, bits = CLASSES[name]
+    masked = len(alphabet)
     logs = f"array({', '.join(f'{x}L' for x in LOGS)})"
-    source = "lower(match)" if name == "entropy_hex" else "match"
-    ids = f"transform(filter(split({source}, ''), ch -> ch <> ''), ch -> instr('{alphabet}', ch) - 1)"
+    source = "lower(shown)" if name == "entropy_hex" else "shown"
+    ids = f"transform(filter(split({source}, ''), ch -> ch <> ''), ch -> instr('{alphabet}{MASK}', ch) - 1)"
     # the state has the run's symbols, too: a lambda would compute them anew for each step
-    start = f"named_struct('ids', {ids}, 'c', array_repeat(0, {len(alphabet)}), 's', 0L, 'a', -1, 'z', -1)"
+    start = f"named_struct('ids', {ids}, 'c', array_repeat(0, {masked + 1}), 's', 0L, 'a', -1, 'z', -1)"
     came, left = "get(st.ids, i - 1)", f"get(st.ids, i - 1 - {WINDOW})"
     more = f"{logs}[st.c[{came}] + 1] - {logs}[st.c[{came}]]"
     less = f"{logs}[st.c[{left}] - 1] - {logs}[st.c[{left}]]"
     delta = f"case when i <= {WINDOW} then {more} when {came} = {left} then 0L else {more} + {less} end"
     counts = f"transform(st.c, (x, k) -> x + if(k = {came}, 1, 0) - if(i > {WINDOW} and k = {left}, 1, 0))"
-    high = f"(i >= {WINDOW} and st.s + ({delta}) <= {most_sum(bits)}L)"
+    plain = f"st.c[{masked}] + if({came} = {masked}, 1, 0) - if(i > {WINDOW} and {left} = {masked}, 1, 0) = 0"
+    high = f"(i >= {WINDOW} and st.s + ({delta}) <= if(mixed, {most_sum(bits)}L, {most_sum(LETTERS_BITS)}L) and {plain})"
     step = f"named_struct('ids', st.ids, 'c', {counts}, 's', st.s + ({delta}), 'a', if(st.a < 0 and {high}, i - {WINDOW}, st.a), 'z', if({high}, i, st.z))"
     return F.expr(f"aggregate(sequence(1, length(match)), {start}, (st, i) -> {step}, st -> named_struct('a', st.a, 'z', st.z))")
 
@@ -82,8 +89,14 @@ def spans(docs: DataFrame) -> DataFrame:
     is_kind = {name: F.col("kind") == k for k, name in enumerate(KINDS)}
     allowed = F.rlike("match", F.lit(ALLOWED_RUN)) | F.rlike("before", F.lit(ALLOWED_BEFORE))
     mixed = F.rlike("match", F.lit("[0-9]")) & F.rlike("match", F.lit("[A-Za-z]"))
+    letters = ~F.rlike("match", F.lit("[0-9]")) & F.rlike("match", F.lit("[a-z]")) & F.rlike("match", F.lit("[A-Z]"))
+    shown = F.col("match")
+    for part in ALLOWED_PARTS:
+        shown = F.regexp_replace(shown, f"(?i){part}", MASK * len(part))
+    rows = rows.withColumns({"mixed": mixed, "shown": F.when(F.col("kind") >= 3, shown)})
+    mixed = F.col("mixed")
     hull = F.when(is_kind["entropy_hex"] & mixed & ~allowed, _window_hull("entropy_hex"))
-    hull = hull.when(is_kind["entropy_b64"] & mixed & ~allowed & ~F.rlike("match", F.lit("^[0-9A-Fa-f]+$")), _window_hull("entropy_b64"))
+    hull = hull.when(is_kind["entropy_b64"] & (mixed | letters) & ~allowed & ~F.rlike("match", F.lit("^[0-9A-Fa-f]+$")), _window_hull("entropy_b64"))
     whole = F.struct(F.lit(0).alias("a"), size.alias("z"))
     nothing = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("z"))
     value = F.length(F.regexp_extract("match", ASSIGN, 2))
