@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import box, ioa, iou, overlap_of_smaller, size_bin, size_key
+from ..functions.geometry import box, overlap_of_smaller
 from ..operators import evaluation as ev
 from ..operators import matching as mt
 from .fixtures import CELL, SQL, UNIT, conf, detections, gt_box

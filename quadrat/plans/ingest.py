@@ -10,7 +10,7 @@ from ..functions.names import CLASSES
 from ..operators import regions as rg
 from ..operators import splits as sp
 from .detection import _bin
-from .fixtures import SQL, UNIT, detections, frame_boxes, frames, gt_box
+from .fixtures import SQL, detections, frame_boxes, frames, gt_box
 
 QUERIES, ORACLE = {}, {}
 TEST, VAL = ["TOMATO_1/3"], ["TOMATO_2/7"]

@@ -18,7 +18,7 @@ from ..operators.ranking import first_in_groups
 from . import detection as dt
 from . import experiments as ex
 from .datasets import _draw, _hashes
-from .detection import _AP50, _CROWD, _GSIZE, _MASK, _ap, _ap_rows, _bin, _det, _evaluated, _ioa, _iou, _matches, _pairs
+from .detection import _AP50, _CROWD, _MASK, _ap, _ap_rows, _det, _evaluated, _ioa, _iou, _matches, _pairs
 from .fixtures import CELL, SQL, UNIT, gt_box, run_metrics, run_metrics_class, table
 
 QUERIES, ORACLE = {}, {}
