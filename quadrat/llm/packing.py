@@ -203,7 +203,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     docs has doc_id and text; other columns are ignored. vocabulary is a tokenizer's JSON file that
     every executor can read. A null text counts as empty and is the end id alone; longer documents
     than capacity are cut into full pieces and a first one with the rest. Repeated rows are packed
-    each by itself, an empty table gives no rows.
+    each by itself, an empty table gives no rows. Rounds end when all remains have met in one task; once a
+    round saves no more than 0.5 % of the underfull sequences, those over half full, which no two of can share
+    one, are left as they are: what more rounds could still gain is the short pieces among the others.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
