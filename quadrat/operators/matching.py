@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import box, match_score, size_key
 
@@ -46,16 +47,18 @@ def candidates(det: DataFrame, gt: DataFrame, unit: list[str], least: float, mod
     """One row per detection: unit, cls, did, conf (if there), d_size and partners, the boxes of its class that it overlaps by at least.
 
     A partner is g (gid), n (the overlap, negative, so that lists sort by falling overlap) and s (its size).
-    One join on the cell, whose partitioning all that follows keeps. across joins on the image instead and adds the
-    largest IoU with a box of the same class (best_same), of another one (best_other) and the latter's class (other_cls); 0, 0, null without.
+    One join on the cell, whose partitioning all that follows keeps. Of the pairs only those that matter are gathered, and
+    those with a cell's first box, so that every detection stays. across joins on the image instead and adds the largest IoU with a box of the same class (best_same), of another one (best_other) and the latter's class (other_cls); 0, 0, null without.
     """
     keys = [*unit, "cls"]
-    right = gt.select(*unit, F.col("cls").alias("g_cls"), "gid", *(F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")))
+    first = F.row_number().over(Window.partitionBy(*unit).orderBy("cls", "gid") if across else Window.partitionBy(*keys).orderBy("gid")) == 1
+    right = gt.select(*unit, F.col("cls").alias("g_cls"), "gid", first.alias("first"), *(F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")))
     pairs = det.join(right, unit, "left") if across else det.join(right.withColumnRenamed("g_cls", "cls"), keys, "left")
     same = (F.col("cls") == F.col("g_cls")) if across else F.lit(True)
     score, plain = (F.when(F.col("gid").isNotNull(), match_score(box(), box("g_"), m)) for m in (mode, "iou"))
     carried = ["conf"] if "conf" in det.columns else []
-    pairs = pairs.select(*keys, "did", *carried, size_key(box()).alias("d_size"), "gid", size_key(box("g_")).alias("s"), score.alias("o"), *([same.alias("same"), "g_cls", plain.alias("p")] if across else []))
+    pairs = pairs.select(*keys, "did", *carried, size_key(box()).alias("d_size"), "gid", size_key(box("g_")).alias("s"), score.alias("o"), "first", *([same.alias("same"), "g_cls", plain.alias("p")] if across else []))
+    pairs = pairs.filter((F.col("o") >= least) | F.col("first") | F.col("gid").isNull() | (F.col("p") > 0 if across else F.lit(False)))
     same = F.col("same") if across else F.lit(True)
     partner = F.when(same & (F.col("o") >= least), F.struct((-F.col("o")).alias("n"), F.col("gid").cast("int").alias("g"), "s"))
     bests = []

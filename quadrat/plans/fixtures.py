@@ -50,8 +50,8 @@ def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gt_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seed, tile_id, cls, gid, x1, y1, x2, y2: true boxes, the same for every seed."""
-    number = F.row_number().over(Window.partitionBy(*UNIT, "cls0").orderBy(*KEY))
-    rows = _seeded(spark, sf_dir).withColumn("gid", number)
+    number = F.row_number().over(Window.partitionBy("tile_id", "cls0").orderBy(*KEY))
+    rows = _boxes(spark, sf_dir).filter("l_linestatus = 'O'").withColumn("gid", number).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return rows.select(*UNIT, F.col("cls0").alias("cls"), "gid", *(F.col(c).cast("double").alias(n) for c, n in (("x", "x1"), ("y", "y1"))), (F.col("x") + F.col("w")).cast("double").alias("x2"), (F.col("y") + F.col("h")).cast("double").alias("y2"))
 
 
