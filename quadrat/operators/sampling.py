@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.names import draw, uniform
 from ..storage import Scratch
-from .ranking import dense_index, first_rows, rank_within
+from .ranking import dense_index, first_in_groups, first_rows, rank_within
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -205,20 +205,33 @@ def uniform_of(key: str, seed: int = 0) -> Column:
 
 
 def nearest_unused(targets: DataFrame, pool: DataFrame, group: list[str]) -> DataFrame:
-    """group, target number t, value and the pool member id chosen for it: nearest that is left, targets in order.
+    """group, target number t, value and the pool member id chosen for it: nearest that is left, of equally near ones the smallest id, targets in order.
 
-    targets has group, t and value; pool has group, id and value. A group's lists are folded in one row each.
+    targets has group, t and value; pool has group, id and value. Rows without a value or id are left out. A group's k targets cut its
+    pool into stretches; as no more than k members are taken, only the first k and the last k of a stretch can be nearest
+    to a target. So lists that are folded in one row have at most 2 * k * (k + 1) members, however large the pool.
     """
-    wanted = targets.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("t", F.col("value").alias("v")))).alias("wanted"))
-    there = pool.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col("value").alias("v"), "id"))).alias("there"))
+    scratch = Scratch(pool.sparkSession, "nearest")
+    listed = targets.filter("value is not null").groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("t", F.col("value").alias("v")))).alias("wanted"))
+    wanted = scratch.table(listed, "wanted")
+    k = wanted.agg(F.max(F.size("wanted"))).first()[0] or 0
+    met = pool.select(*group, "id", F.col("value").alias("v")).filter("id is not null and v is not null").join(wanted, group)
+    stretch = F.size(F.filter("wanted", lambda x: x["v"] < F.col("v")))
+    # an id that is there more than once stands for the nearest of its rows
+    each = met.groupBy(*group, stretch.alias("_s"), "id").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = [first_in_groups(each, [*group, "_s"], [order, "id"], k).select(*group, F.col(c).alias("v"), "id") for c, order in (("low", F.asc("low")), ("high", F.desc("high")))]
+    there = ends[0].unionByName(ends[1]).groupBy(*group).agg(F.collect_set(F.struct("v", "id")).alias("there"))
     start = F.expr("named_struct('left', there, 'out', cast(array() as array<struct<t:int,v:double,id:bigint>>))")
 
     def step(st: Column, x: Column) -> Column:
-        near = F.sort_array(F.transform(st["left"], lambda p: F.struct(F.abs(p["v"] - x["v"]).alias("d"), p["id"].alias("id"))))
-        best = F.get(near, F.lit(0))
-        rest = F.filter(st["left"], lambda p: p["id"] != best["id"])
-        row = F.struct(x["t"].cast("int").alias("t"), x["v"].alias("v"), best["id"].alias("id"))
-        return F.when(F.size(st["left"]) > 0, F.struct(rest.alias("left"), F.concat(st["out"], F.array(row)).alias("out"))).otherwise(st)
+        def taken(best: Column) -> Column:
+            rest = F.filter(st["left"], lambda p: p["id"] != best["id"])
+            row = F.struct(x["t"].cast("int").alias("t"), x["v"].alias("v"), best["id"].alias("id"))
+            return F.struct(rest.alias("left"), F.concat(st["out"], F.array(row)).alias("out"))
+
+        best = F.array_min(F.transform(st["left"], lambda p: F.struct(F.abs(p["v"] - x["v"]).alias("d"), p["id"].alias("id"))))
+        # an array of one, so that the nearest is looked for once and not once for each member left
+        return F.when(F.size(st["left"]) > 0, F.get(F.transform(F.array(best), taken), F.lit(0))).otherwise(st)
 
     rows = wanted.join(there, group).select(*group, F.explode(F.aggregate("wanted", start, step, lambda st: st["out"])).alias("x"))
     return rows.select(*group, "x.t", F.col("x.v").alias("value"), "x.id")

@@ -164,6 +164,24 @@ def test_sizes_that_fit(spark):
     assert near == [10, 13, 16] or near == [10, 13, 15]
 
 
+def test_nearest_unused_in_a_large_pool(spark):
+    rng = np.random.default_rng(5)
+    wanted = [(g, t, float(v)) for g in "ab" for t, v in enumerate(np.round(rng.random(12) * 40, 1))]
+    pool = [(g, int(i), float(v)) for g in "ab" for i, v in zip(rng.permutation(30_000), rng.integers(0, 45, 30_000))]
+    few = [("c", i // 2, float(v)) for i, v in enumerate(rng.integers(0, 45, 18))]  # ids twice, fewer than targets
+    wanted += [("c", t, float(v)) for t, v in enumerate(rng.integers(0, 45, 12))] + [("a", 99, None)]
+    rows = pool + few + [("a", 50_000, None), ("b", None, 1.0), ("d", 1, 1.0)]
+    want = {}
+    for g in "abc":
+        left = [(v, i) for h, i, v in pool + few if h == g]
+        for _, t, v in sorted(x for x in wanted if x[0] == g and x[2] is not None):
+            if left:
+                want[g, t] = best = min(left, key=lambda p: (abs(p[0] - v), p[1]))[1]
+                left = [p for p in left if p[1] != best]
+    t, p = spark.createDataFrame(wanted, "g string, t int, value double"), spark.createDataFrame(rows, "g string, id long, value double")
+    assert {(r.g, r.t): r.id for r in sm.nearest_unused(t, p, ["g"]).collect()} == want and len(want) == 33
+
+
 def test_gates(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 5), ("b", 9)], "g string, v int")
     assert pr.gate(rows, F.col("v") < 4, ["g"]).count() == 2
