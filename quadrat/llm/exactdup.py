@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import AT, Scratch, partitions, pick_rows, place, rooted, row_ids, spread_join
+from .common import AT, Scratch, lean, partitions, pick_rows, place, rooted, row_ids, spread_join
 
 BLOCK_BYTES = 4096
 
@@ -96,8 +96,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int =
     scratch = scratch or Scratch(spark, "exactdup")
     docs = rooted(scratch, docs)
     base = docs.select(place(docs).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summary = scratch.table(row_ids(base.mapInArrow(_summaries(block_bytes, hash_bits), f"_at {AT}, doc_id long, text_sha256 string, names array<long>")), "summary")
-    cut = base.select("_at", "text").mapInArrow(_blocks(block_bytes, hash_bits), f"_at {AT}, place int, h long, block binary")
+    summary = scratch.table(row_ids(base.mapInArrow(lean(_summaries(block_bytes, hash_bits)), f"_at {AT}, doc_id long, text_sha256 string, names array<long>")), "summary")
+    cut = base.select("_at", "text").mapInArrow(lean(_blocks(block_bytes, hash_bits)), f"_at {AT}, place int, h long, block binary")
     contents = cut.groupBy("h", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("n"))
     names, free = _named(scratch, contents, ["h"], 0, "names-blocks")
     placed = summary.select("_rid", F.posexplode("names").alias("place", "h"))

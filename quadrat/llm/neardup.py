@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import AT, Scratch, pick_rows, place, rooted, row_ids, spread_join
+from .common import AT, Scratch, lean, pick_rows, place, rooted, row_ids, spread_join
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -190,15 +190,15 @@ def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def weights(docs: DataFrame, scratch: Scratch, floor: float = FLOOR, most_named: int = MOST_NAMED) -> Weights:
     """Document frequencies over all rows of docs (column text)."""
     total = docs.count()
-    named = scratch.table(docs.select("text").mapInArrow(_named(floor), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "named")
+    named = scratch.table(docs.select("text").mapInArrow(lean(_named(floor)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "named")
     n = named.count()
     if not n:
         return Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, floor)
     if n <= most_named:
         known = np.sort(named.select("h").toArrow()["h"].to_numpy().view(np.uint64))
-        counted = docs.select("text").mapInArrow(_counted(docs.sparkSession.sparkContext.broadcast(known)), "h long, n long")
+        counted = docs.select("text").mapInArrow(lean(_counted(docs.sparkSession.sparkContext.broadcast(known))), "h long, n long")
     else:
-        counted = docs.select("text").mapInArrow(_all_shingles, "h long, n long").join(named.select("h"), "h", "left_semi")
+        counted = docs.select("text").mapInArrow(lean(_all_shingles), "h long, n long").join(named.select("h"), "h", "left_semi")
     # of these there are at most (shingles per document) / floor
     common = scratch.table(counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor * total), "common")
     n = common.count()
@@ -366,7 +366,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     docs = rooted(scratch, docs)
     base = docs.select(place(docs).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weighing = spark.sparkContext.broadcast(weights(base, scratch, floor))
-    signed = scratch.table(row_ids(base.mapInArrow(_signed(weighing, bands, rows), f"_at {AT}, doc_id long, digest binary, bands array<long>")), "signed")
+    signed = scratch.table(row_ids(base.mapInArrow(lean(_signed(weighing, bands, rows)), f"_at {AT}, doc_id long, digest binary, bands array<long>")), "signed")
     first = scratch.table(signed.groupBy("digest").agg(F.min("_rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "first")
     single = scratch.table(signed.join(first.select("rep", "copies"), F.col("_rid") == F.col("rep")).select("rep", "_at", "copies", "bands"), "single")
     alone = single.select("rep", "copies", F.explode("bands").alias("key"))
@@ -391,7 +391,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-        return scratch.table(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(weighing, least), "a long, b long, similarity double"), name)
+        return scratch.table(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_verified(weighing, least)), "a long, b long, similarity double"), name)
 
     likely = paired.filter("rep != one.rep").groupBy("rep").agg(F.max("one").alias("one")).select(*ordered("rep", "one.rep")).distinct()
     near = components(links(likely, "links1"), scratch, "near")
@@ -402,7 +402,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     both = scratch.table(near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "links12")
     roots = components(both, scratch, "second")
     found = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "key", F.coalesce("root", "rep").alias("class"))
-    last_links = scratch.table(_rest_of_buckets(found, centres, single, texts, scratch).mapInArrow(_compared(weighing, least), "a long, b long"), "links3")
+    last_links = scratch.table(_rest_of_buckets(found, centres, single, texts, scratch).mapInArrow(lean(_compared(weighing, least)), "a long, b long"), "links3")
     roots = components(both.unionByName(last_links), scratch, "all")
     first = scratch.table(first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("root", "rep").alias("class")), "first-classes")
     named = scratch.table(spread_join(signed.select("digest", "_rid", "_at", "doc_id"), first, ["digest"], "copies").drop("digest"), "named-rows")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, kept, lean
 
 CAPACITY = 1024
 END_ID = 2
@@ -32,9 +32,6 @@ MOST_ITEMS, MOST_WORDS = 200_000, 400_000
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = "sequence_id long, used int, final boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
-_encoders: dict[str, Encoder] = {}
-
-
 class Encoder:
     """Texts to little-endian 32-bit ids of a byte-level BPE vocabulary.
 
@@ -98,10 +95,11 @@ class Encoder:
 
 
 def encoder(vocabulary: str) -> Encoder:
-    """One for each Python worker."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    """One for each Python worker, until it takes up another operator."""
+    encoders = kept("packing")
+    if vocabulary not in encoders:
+        encoders[vocabulary] = Encoder(vocabulary)
+    return encoders[vocabulary]
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -211,7 +209,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     scratch = Scratch(spark, "packing")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     done = []
-    rows = scratch.table(base.mapInArrow(_first_round(vocabulary, capacity, end_id, slack), BIN), "round0")
+    rows = scratch.table(base.mapInArrow(lean(_first_round(vocabulary, capacity, end_id, slack), "packing"), BIN), "round0")
     tasks, before, k = max(1, rows.select(F.shiftright("sequence_id", 32)).distinct().count()), None, 0
     going = "not final"
     while True:
@@ -225,7 +223,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         done.append(rows.filter(f"not ({going})"))
         tasks = max(1, -(-tasks // FAN_IN), -(-left // MOST_ITEMS))
         k, before = k + 1, left
-        rows = scratch.table(rows.filter(going).select("used", "members").repartition(tasks).mapInArrow(_next_round(k, capacity, slack), BIN), f"round{k}")
+        rows = scratch.table(rows.filter(going).select("used", "members").repartition(tasks).mapInArrow(lean(_next_round(k, capacity, slack), "packing"), BIN), f"round{k}")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
