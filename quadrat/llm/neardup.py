@@ -8,10 +8,16 @@ computed from both whole texts, is high enough. Classes are the connected compon
 band's documents are then still in several classes, all of different classes are compared, in blocks;
 so no two documents that share a band stay apart without having been compared, unless links join them.
 
-Document frequency matters where it is high: it is exact for shingles in at least a share FLOOR of all
-documents, and all rarer ones weigh as if at FLOOR. A shingle that frequent in the whole is as
-frequent in some part, so each part names its own, and a second pass counts what was named over
-all documents. There are at most (shingles per document) / FLOOR of them, at any size of the corpus.
+With floor 0, as the queries ask for, the document frequency of every shingle is exact. Documents are held in blocks, a compressed row each.
+A block sends a sorted list of its distinct shingles, with the number of its documents that have each, to
+each range of the hash; a range adds up what its lists say and answers each list with the frequencies in
+the whole, in the order that was sent. So no shingle, however common, gathers in a task, and nothing is
+broadcast. From then on a document's frequencies, in the order of its shingles, go wherever its text goes.
+
+With a floor above 0, frequencies are exact for shingles in at least that share of all documents, and all
+rarer ones weigh as if at it. A shingle that frequent in the whole is as frequent in some part, so each
+part names its own, and a second pass counts what was named over all documents. There are at
+most (shingles per document) / floor of them, at any size of the corpus.
 """
 
 from __future__ import annotations
@@ -24,15 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import AT, Scratch, lean, pick_rows, place, rooted, row_ids, spread_join
+from .common import AT, Scratch, lean, partitions, pick_rows, place, rooted, row_ids, spread_join
 from .graph import components
+from .substring import _packed, _ranges, _sent, _unpacked
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
+#: Share of documents below which classes() by itself doesn't tell frequencies apart; the queries ask for floor 0: all are exact.
 FLOOR = 0.01
+#: Shingles and documents of a block of the exchange of frequencies, at most (or one longer text), and about the shingles of a range.
+HELD_SHINGLES, HELD_DOCS, RANGE_SHINGLES = 1 << 20, 4096, 2_000_000
 PART_DOCS, PART_SHINGLES = 4000, 4_000_000
 #: Documents of a block of the last round, and shingles that a task keeps of documents it has read.
 BLOCK, MOST_HELD = 256, 4_000_000
@@ -67,14 +78,18 @@ def _words(text) -> list[bytes]:
 
 
 class Weights:
-    """Inverse document frequency: exact for the common shingles, one value for the others."""
+    """Inverse document frequency: by frequencies that come with the shingles, else exact for the common ones and one value for the others."""
 
     def __init__(self, common: np.ndarray, counts: np.ndarray, docs: int, floor: float):
         order = np.argsort(common)
+        self.docs = docs
         self.common, self.idf = common[order], np.log1p(docs / np.maximum(counts[order], 1))
-        self.rare = math.log1p(1 / floor)
+        self.rare = math.log1p(1 / floor) if floor else float(np.log1p(np.full(1, max(docs, 1.0)))[0])
 
-    def of(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def of(self, h: np.ndarray, counts: np.ndarray, df: bytes | None = None) -> np.ndarray:
+        """Weights of sorted shingles; df has their document frequencies, packed."""
+        if df is not None:
+            return np.log1p(self.docs / _unpacked(df, np.uint32)) * (1 + np.log(counts))
         w = np.full(len(h), self.rare)
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
@@ -208,24 +223,126 @@ def weights(docs: DataFrame, scratch: Scratch, floor: float = FLOOR, most_named:
     return Weights(found["h"].to_numpy().view(np.uint64), found["n"].to_numpy(), total, floor)
 
 
-def _signed(weighing, bands: int, rows: int):
+def _blocks(n_ranges: int, most_shingles: int, most_docs: int):
+    """Documents to blocks with the lists of their shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weighing.value
-        sampler = Sampler(bands * rows, w.rare)
+        from pyspark import TaskContext
+
+        block_id = TaskContext.get().partitionId() << 32
+        places, ids, texts, held, size = [], [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            lists = [{"range": k, "data": data, "n": some} for _, k, (data, some) in _sent(block_id, n_ranges, 64, h, n.astype(np.uint32))]
+            row = [block_id, places, ids, [len(t) for t in texts], zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), lists]
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, BLOCK_TYPES)], names=BLOCK_NAMES)
+
         for b in batches:
-            digests, keys = [], []
-            for text in b.column("text"):
+            for at, doc_id, text in zip(b.column("_at").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
                 words = _words(text)
-                digests.append(hashlib.sha256(b" ".join(words)).digest()[:16])
-                h, n = shingles(words)
-                keys.append(_band_keys(sampler.draw(h, w.of(h, n)), bands) if len(h) else [])
-            yield pa.record_batch(
-                [b.column("_at"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_at", "doc_id", "digest", "bands"]
-            )
+                places.append(at)
+                ids.append(doc_id)
+                texts.append(b" ".join(words))
+                held.append(shingles(words)[0])
+                size += len(held[-1])
+                if size >= most_shingles or len(ids) >= most_docs:
+                    yield block()
+                    block_id, places, ids, texts, held, size = block_id + 1, [], [], [], [], 0
+        if ids:
+            yield block()
 
     return run
 
 
+BLOCK_NAMES = ["block_id", "at", "ids", "lengths", "texts", "lists"]
+BLOCK_TYPES = [
+    pa.int64(), pa.list_(pa.struct([("file", pa.int64()), ("row", pa.int64())])), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(),
+    pa.list_(pa.struct([("range", pa.int32()), ("data", pa.binary()), ("n", pa.binary())])),
+]
+BLOCK_DDL = f"block_id long, at array<{AT}>, ids array<long>, lengths array<long>, texts binary, lists array<struct<range:int,data:binary,n:binary>>"
+SIGNED_DDL = f"_at {AT}, doc_id long, digest binary, bands array<long>, df binary"
+
+
+def _added_up(table: pa.Table) -> pa.Table:
+    """For each list of a range, the documents of all blocks that have each of its shingles."""
+    parts = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table["data"]]
+    h, n = np.concatenate(parts), np.concatenate([_unpacked(x.as_py(), np.uint32) for x in table["n"]])
+    order = np.argsort(h, kind="stable")
+    x = h[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    df = np.empty(len(h), np.uint32)
+    df[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    told = [_packed(d) for d in np.split(df, np.cumsum([len(p) for p in parts])[:-1])]
+    return pa.table({"block_id": table["block_id"], "range": table["range"], "df": pa.array(told, pa.binary())})
+
+
+def _signer(w: Weights, bands: int, rows: int):
+    sampler = Sampler(bands * rows, w.rare)
+
+    def sign(words: bytes, h: np.ndarray, n: np.ndarray, df: bytes | None) -> tuple[bytes, np.ndarray]:
+        return hashlib.sha256(words).digest()[:16], _band_keys(sampler.draw(h, w.of(h, n, df)), bands) if len(h) else np.zeros(0, np.int64)
+
+    return sign
+
+
+def _signatures(at: pa.Array, ids: pa.Array, signed: list[tuple], df: list[bytes | None]) -> pa.RecordBatch:
+    digests, keys = [s[0] for s in signed], [s[1] for s in signed]
+    return pa.record_batch(
+        [at, ids, pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(df, pa.binary())], names=["_at", "doc_id", "digest", "bands", "df"]
+    )
+
+
+def _signed(weighing, bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = _signer(weighing.value, bands, rows)
+        for b in batches:
+            signed = [sign(b" ".join(words), *shingles(words), None) for words in map(_words, b.column("text"))]
+            yield _signatures(b.column("_at"), b.column("doc_id"), signed, [None] * b.num_rows)
+
+    return run
+
+
+def _signed_blocks(weighing, bands: int, rows: int, n_ranges: int):
+    """Blocks with the answers to their lists to documents with their frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = _signer(weighing.value, bands, rows)
+        for b in batches:
+            for i in range(b.num_rows):
+                raw = zstandard.ZstdDecompressor().decompress(b.column("texts")[i].as_py())
+                ends = np.cumsum(b.column("lengths")[i].values.to_numpy()).tolist()
+                texts = [raw[a:z] for a, z in zip([0, *ends], ends)]
+                sets = [shingles(t.split()) for t in texts]
+                h, number = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+                cuts = [0, *_ranges(h, 64, n_ranges), len(h)]
+                df = np.zeros(len(h), np.uint32)
+                for x in b.column("told")[i].as_py() or []:
+                    df[cuts[x["range"]] : cuts[x["range"] + 1]] = _unpacked(x["df"], np.uint32)
+                if not df.all():
+                    raise ValueError("a list of shingles was left without an answer")
+                each = [_packed(d) for d in np.split(df[number], np.cumsum([len(x) for x, _ in sets])[:-1])]
+                yield _signatures(b.column("at")[i].values, b.column("ids")[i].values, [sign(t, *s, d) for t, s, d in zip(texts, sets, each)], each)
+
+    return run
+
+
+def _exact(base: DataFrame, scratch: Scratch, bands: int, rows: int, most_shingles: int, most_docs: int, range_shingles: int) -> tuple[Weights, DataFrame]:
+    """Weights and signatures by exact frequencies of all shingles."""
+    spark = base.sparkSession
+    total, size = base.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    n = max(partitions(spark), (size or 0) // 6 // range_shingles)
+    blocks = scratch.table(base.mapInArrow(lean(_blocks(n, most_shingles, most_docs)), BLOCK_DDL), "blocks")
+    lists = blocks.select("block_id", F.explode("lists").alias("x")).select("block_id", "x.range", "x.data", "x.n")
+    answers = scratch.table(lists.groupBy("range").applyInArrow(_added_up, "block_id long, range int, df binary"), "frequencies")
+    told = answers.groupBy("block_id").agg(F.collect_list(F.struct("range", "df")).alias("told"))
+    w = Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, 0.0)
+    asked = blocks.drop("lists").join(told, "block_id", "left")
+    signed = asked.mapInArrow(lean(_signed_blocks(spark.sparkContext.broadcast(w), bands, rows, n)), SIGNED_DDL)
+    return w, signed
+
+
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of sorted hashes with weights; 0 for two empty texts."""
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -238,18 +355,18 @@ def _verified(weighing, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, recent = weighing.value, OrderedDict()
 
-        def weighed(rid: int, text) -> tuple[np.ndarray, np.ndarray]:
+        def weighed(rid: int, text, df) -> tuple[np.ndarray, np.ndarray]:
             if rid not in recent:
                 h, n = shingles(_words(text))
-                recent[rid] = (h, w.of(h, n))
+                recent[rid] = (h, w.of(h, n, df.as_py()))
                 if len(recent) > 64:
                     recent.popitem(last=False)
             recent.move_to_end(rid)
             return recent[rid]
 
         for batch in batches:
-            ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"))
-            kept = [(a, b, s) for a, b, x, y in ids if (s := similarity(weighed(a, x), weighed(b, y))) >= least]
+            ids = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), *(batch.column(c) for c in ("text_a", "df_a", "text_b", "df_b")))
+            kept = [(a, b, s) for a, b, x, df_x, y, df_y in ids if (s := similarity(weighed(a, x, df_x), weighed(b, y, df_y))) >= least]
             if kept:
                 yield pa.record_batch([pa.array(c) for c in zip(*kept)], names=["a", "b", "similarity"])
 
@@ -276,7 +393,7 @@ def _rest_of_buckets(found: DataFrame, centres: DataFrame, single: DataFrame, te
     # sort-merge joins, as in links
     rows = rows.join(single.select("rep", "bands").hint("merge"), "rep").join(texts.hint("merge"), "rep")
     group = ["key", "i", "j"]
-    return rows.select(*group, "rep", "class", "first", "bands", "text").repartition(*group).sortWithinPartitions(*group)
+    return rows.select(*group, "rep", "class", "first", "bands", "text", "df").repartition(*group).sortWithinPartitions(*group)
 
 
 def _compared(weighing, least: float):
@@ -288,11 +405,11 @@ def _compared(weighing, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, recent, held = weighing.value, OrderedDict(), 0
 
-        def weighed(rep: int, text) -> tuple[np.ndarray, np.ndarray, float]:
+        def weighed(rep: int, text, df) -> tuple[np.ndarray, np.ndarray, float]:
             nonlocal held
             if rep not in recent:
                 h, n = shingles(_words(text))
-                weight = w.of(h, n)
+                weight = w.of(h, n, df.as_py())
                 recent[rep] = (h, weight, float(weight.sum()))
                 held += len(h)
                 while held > MOST_HELD and len(recent) > 1:
@@ -315,12 +432,12 @@ def _compared(weighing, least: float):
 
             first = len(xs) > len(ys)
             few, many = (ys, xs) if first else (xs, ys)
-            known = [weighed(r[0], r[4]) for r in many]
+            known = [weighed(r[0], r[4], r[5]) for r in many]
             total = np.array([k[2] for k in known])
             bands, classes_ = np.stack([r[3] for r in many]), np.array([r[1] for r in many])
             band = int(np.flatnonzero(bands[0] == key)[0])
-            for at, (rep, own, _, of, text) in enumerate(few):
-                h, weight, mine = weighed(rep, text)
+            for at, (rep, own, _, of, text, df) in enumerate(few):
+                h, weight, mine = weighed(rep, text, df)
                 # similarity is the smaller sum of weights over the larger one at most
                 near = (classes_ != own) & (np.minimum(total, mine) >= (least - 1e-9) * np.maximum(total, mine))
                 near &= ~(bands[:, :band] == of[:band]).any(1)
@@ -336,13 +453,13 @@ def _compared(weighing, least: float):
         def all_links() -> Iterator[list[tuple[int, int]]]:
             group, rows = None, []
             for b in batches:
-                ids = zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "rep", "class", "first", "bands")), b.column("text"))
-                for key, i, j, rep, own, first, bands, text in ids:
+                ids = zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "rep", "class", "first", "bands")), b.column("text"), b.column("df"))
+                for key, i, j, rep, own, first, bands, text, df in ids:
                     if group != (key, i, j):
                         if group:
                             yield links(*group, rows)
                         group, rows = (key, i, j), []
-                    rows.append((rep, own, first, np.array(bands, np.int64), text))
+                    rows.append((rep, own, first, np.array(bands, np.int64), text, df))
             if group:
                 yield links(*group, rows)
 
@@ -353,22 +470,33 @@ def _compared(weighing, least: float):
     return run
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> DataFrame:
+def classes(
+    docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR,
+    most_shingles: int = HELD_SHINGLES, most_docs: int = HELD_DOCS, range_shingles: int = RANGE_SHINGLES,
+) -> DataFrame:
     """One row per document: _at (its place), doc_id, class_id, class_size, kept.
 
     class_id is the smallest doc_id of the class, and its row stays (of repeated rows one; a null
     doc_id is the largest). docs has doc_id and text; other columns are ignored.
     Rows with equal words are one class; null and empty texts are equal. Texts of fewer than five words
     are one shingle. An empty table gives no rows. Groups of equal texts are compared once, by one row.
+    Document frequencies are counted over all rows, repeated ones too. With floor 0 all are exact; else
+    those of shingles in a smaller share of the rows are taken as that share.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     docs = rooted(scratch, docs)
     base = docs.select(place(docs).alias("_at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weighing = spark.sparkContext.broadcast(weights(base, scratch, floor))
-    signed = scratch.table(row_ids(base.mapInArrow(lean(_signed(weighing, bands, rows)), f"_at {AT}, doc_id long, digest binary, bands array<long>")), "signed")
+    if floor:
+        w = weights(base, scratch, floor)
+        signed = base.mapInArrow(lean(_signed(spark.sparkContext.broadcast(w), bands, rows)), SIGNED_DDL)
+    else:
+        w, signed = _exact(base, scratch, bands, rows, most_shingles, most_docs, range_shingles)
+    weighing = spark.sparkContext.broadcast(w)
+    signed = scratch.table(row_ids(signed), "signed")
+    scratch.drop("blocks", "frequencies")
     first = scratch.table(signed.groupBy("digest").agg(F.min("_rid").alias("rep"), F.count(F.lit(1)).alias("copies")), "first")
-    single = scratch.table(signed.join(first.select("rep", "copies"), F.col("_rid") == F.col("rep")).select("rep", "_at", "copies", "bands"), "single")
+    single = scratch.table(signed.join(first.select("rep", "copies"), F.col("_rid") == F.col("rep")).select("rep", "_at", "copies", "bands", "df"), "single")
     alone = single.select("rep", "copies", F.explode("bands").alias("key"))
     # stored sums, so that joins with them can split a frequent key
     crowded = scratch.table(alone.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
@@ -386,12 +514,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
     # sort-merge joins at every size: what moves grows in proportion, and a centre's rows can be split
-    wanted = scratch.table(single.select("rep", "_at").join(paired.select("rep").distinct(), "rep", "left_semi"), "wanted")
-    texts = scratch.table(base.select("_at", "text").join(wanted.hint("merge"), "_at").select("rep", "text"), "texts")
+    wanted = scratch.table(single.select("rep", "_at", "df").join(paired.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    texts = scratch.table(base.select("_at", "text").join(wanted.hint("merge"), "_at").select("rep", "text", "df"), "texts")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-        return scratch.table(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_verified(weighing, least)), "a long, b long, similarity double"), name)
+        a, b = (texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"), F.col("df").alias(f"df_{x}")) for x in "ab")
+        return scratch.table(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "df_a", "text_b", "df_b").mapInArrow(lean(_verified(weighing, least)), "a long, b long, similarity double"), name)
 
     likely = paired.filter("rep != one.rep").groupBy("rep").agg(F.max("one").alias("one")).select(*ordered("rep", "one.rep")).distinct()
     near = components(links(likely, "links1"), scratch, "near")
@@ -412,8 +540,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     return spread_join(named, sums, ["class"], "_n").select("_at", "doc_id", "class_id", "class_size", (F.col("_rid") == F.col("keep._rid")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns."""
+def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, floor: float = 0) -> DataFrame:
+    """The rows of docs that stay, one of each class, with all their columns; by exact frequencies unless there is a floor."""
     scratch = Scratch(docs.sparkSession, "neardup-kept")
     docs = rooted(scratch, docs)
-    return pick_rows(docs, classes(docs, least).filter("kept"))
+    return pick_rows(docs, classes(docs, least, floor=floor).filter("kept"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrat.llm import chat, exactdup, media, mixing, neardup, packing, secrets, substring, toxicity, warc
-from quadrat.llm.queries import vocabulary
+from quadrat.llm.queries import op5_near_dedup, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _rid string, rank int"
 
@@ -385,6 +385,61 @@ def test_samples_agree_as_often_as_weights_do():
     assert (s.draw(h, a) == s.draw(h, a)).all()
 
 
+@pytest.mark.parametrize("most_shingles, most_docs", [(1 << 20, 4096), (200, 4096), (1 << 20, 3)])
+def test_frequencies_of_all_shingles_are_exact(spark, tmp_path, most_shingles, most_docs):
+    from quadrat.llm.common import Scratch, place
+    from quadrat.llm.substring import _unpacked
+
+    rng = random.Random(6)
+    common = words(rng, 40)
+    texts = [None, "", "a b", "a b", " ".join(["x"] * 3000)] + [f"{common} t{k} {words(rng, 60)}" for k in range(120)]
+    texts += [t + " more" for t in texts[-20:]] + texts[40:50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "n"))
+    table = spark.read.parquet(str(tmp_path / "n"))
+    base = table.select(place(table).alias("_at"), "doc_id", "text")
+    w, signed = neardup._exact(base, Scratch(spark, "t"), neardup.BANDS, neardup.ROWS, most_shingles, most_docs, 500)
+    got = {r.doc_id: r for r in signed.collect()}
+    sets = [neardup.shingles((t or "").encode().split()) for t in texts]
+    df = collections.Counter(x for h, _ in sets for x in h.tolist())
+    assert set(df.values()) >= {1, 2, 120 + 20 + 10}
+    assert len(got) == signed.count() == len(texts)
+    for k, (h, n) in enumerate(sets):
+        assert _unpacked(got[k].df, np.uint32).tolist() == [df[x] for x in h.tolist()]
+        assert np.allclose(w.of(h, n, bytes(got[k].df)), [math.log(1 + len(texts) / df[x]) * (1 + math.log(c)) for x, c in zip(h.tolist(), n.tolist())])
+
+
+def test_near_duplicates_by_shingles_in_few_documents(spark, tmp_path, monkeypatch):
+    # eight documents share a passage that no others have, each has words of its own: alike at 0.83 if both count the same, less as the passage is in eight
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    passage = words(rng, 600)
+    texts = [" ".join([passage, *(f"d{k}x{c}" for c in range(56))]) for k in range(8)]
+    pair = words(rng, 600)
+    texts += [pair, pair + " end", *(words(rng, 12) for _ in range(1190))]
+    held = _all_pairs(texts)
+    monkeypatch.setattr(neardup, "FLOOR", 0.0)
+    want = dict(enumerate(_all_pairs(texts)))
+    assert held[:10] == [0] * 8 + [8, 8] and [want[k] for k in range(10)] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 8]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.class_id for r in op5_near_dedup(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, "").collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicates_in_buckets_of_many_classes_by_exact_frequencies(spark, tmp_path, monkeypatch, empty):
+    rng = random.Random(3)
+    passage = words(rng, 800)
+    texts = [" ".join([passage, *(f"d{k}x{c}" for c in range(7)), *(f"d{k}{side}{c}" for c in range(12))]) for side in "yz" for k in range(150)]
+    path = str(tmp_path / "n")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    monkeypatch.setattr(neardup, "FLOOR", 0.0)
+    want = dict(enumerate(_all_pairs(texts)))
+    assert len(set(want.values())) == 150
+    assert {r.doc_id: r.class_id for r in neardup.classes(spark.read.parquet(path), floor=0, most_docs=20, range_shingles=300).collect()} == want
+    assert neardup.classes(empty, floor=0).count() == 0
+
+
 def test_named_shingles_by_shuffle(spark, docs):
     from quadrat.llm.common import Scratch
 
