@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import AT, Scratch, lean, partitions, pick_rows, place, rooted, row_ids, spread_join
+from .common import AT, Scratch, hand_back, lean, partitions, pick_rows, place, rooted, row_ids, spread_join
 from .graph import components
 from .substring import _packed, _ranges, _sent, _unpacked
 
@@ -43,7 +43,7 @@ BANDS, ROWS = 14, 3
 #: Share of documents below which classes() by itself doesn't tell frequencies apart; the queries ask for floor 0: all are exact.
 FLOOR = 0.01
 #: Shingles and documents of a block of the exchange of frequencies, at most (or one longer text), and about the shingles of a range.
-HELD_SHINGLES, HELD_DOCS, RANGE_SHINGLES = 1 << 20, 4096, 2_000_000
+HELD_SHINGLES, HELD_DOCS, RANGE_SHINGLES = 1 << 19, 4096, 2_000_000
 PART_DOCS, PART_SHINGLES = 4000, 4_000_000
 #: Documents of a block of the last round, and shingles that a task keeps of documents it has read.
 BLOCK, MOST_HELD = 256, 4_000_000
@@ -268,13 +268,16 @@ def _added_up(table: pa.Table) -> pa.Table:
     """For each list of a range, the documents of all blocks that have each of its shingles."""
     parts = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table["data"]]
     h, n = np.concatenate(parts), np.concatenate([_unpacked(x.as_py(), np.uint32) for x in table["n"]])
+    ends = np.cumsum([len(p) for p in parts])
+    del parts
     order = np.argsort(h, kind="stable")
-    x = h[order]
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     df = np.empty(len(h), np.uint32)
-    df[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    told = [_packed(d) for d in np.split(df, np.cumsum([len(p) for p in parts])[:-1])]
+    df[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(first, append=len(h)))
+    told = [_packed(d) for d in np.split(df, ends[:-1])]
+    del h, n, order, first, df
+    hand_back()
     return pa.table({"block_id": table["block_id"], "range": table["range"], "df": pa.array(told, pa.binary())})
 
 
@@ -313,17 +316,17 @@ def _signed_blocks(weighing, bands: int, rows: int, n_ranges: int):
             for i in range(b.num_rows):
                 raw = zstandard.ZstdDecompressor().decompress(b.column("texts")[i].as_py())
                 ends = np.cumsum(b.column("lengths")[i].values.to_numpy()).tolist()
-                texts = [raw[a:z] for a, z in zip([0, *ends], ends)]
-                sets = [shingles(t.split()) for t in texts]
-                h, number = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+                places = [slice(a, z) for a, z in zip([0, *ends], ends)]
+                sets = [shingles(raw[p].split()) for p in places]
+                h = np.unique(np.concatenate([x for x, _ in sets]))
                 cuts = [0, *_ranges(h, 64, n_ranges), len(h)]
                 df = np.zeros(len(h), np.uint32)
                 for x in b.column("told")[i].as_py() or []:
                     df[cuts[x["range"]] : cuts[x["range"] + 1]] = _unpacked(x["df"], np.uint32)
                 if not df.all():
                     raise ValueError("a list of shingles was left without an answer")
-                each = [_packed(d) for d in np.split(df[number], np.cumsum([len(x) for x, _ in sets])[:-1])]
-                yield _signatures(b.column("at")[i].values, b.column("ids")[i].values, [sign(t, *s, d) for t, s, d in zip(texts, sets, each)], each)
+                each = [_packed(df[np.searchsorted(h, x)]) for x, _ in sets]
+                yield _signatures(b.column("at")[i].values, b.column("ids")[i].values, [sign(raw[p], *s, d) for p, s, d in zip(places, sets, each)], each)
 
     return run
 
@@ -336,9 +339,11 @@ def _exact(base: DataFrame, scratch: Scratch, bands: int, rows: int, most_shingl
     blocks = scratch.table(base.mapInArrow(lean(_blocks(n, most_shingles, most_docs)), BLOCK_DDL), "blocks")
     lists = blocks.select("block_id", F.explode("lists").alias("x")).select("block_id", "x.range", "x.data", "x.n")
     answers = scratch.table(lists.groupBy("range").applyInArrow(_added_up, "block_id long, range int, df binary"), "frequencies")
-    told = answers.groupBy("block_id").agg(F.collect_list(F.struct("range", "df")).alias("told"))
+    # a task gets about one block: all that it gets may come to Python at once
+    n_blocks = max(1, blocks.count())
+    told = answers.repartition(n_blocks, "block_id").groupBy("block_id").agg(F.collect_list(F.struct("range", "df")).alias("told"))
     w = Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, 0.0)
-    asked = blocks.drop("lists").join(told, "block_id", "left")
+    asked = blocks.drop("lists").repartition(n_blocks, "block_id").join(told, "block_id", "left")
     signed = asked.mapInArrow(lean(_signed_blocks(spark.sparkContext.broadcast(w), bands, rows, n)), SIGNED_DDL)
     return w, signed
 
